@@ -1,0 +1 @@
+"""Left empty on purpose: none of the analyst operators works on a stream."""
