@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import combinations
 
@@ -18,17 +18,42 @@ PAIRS_PER_SCAN = 150
 def pearson(a: Column, b: Column) -> Column:
     """NULL where a side is constant; ``corr`` would divide by zero there."""
     spread = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
-    r = F.try_divide(F.covar_pop(a, b), spread)
+    return _clamped(F.try_divide(F.covar_pop(a, b), spread))
+
+
+def _clamped(r: Column) -> Column:
     return F.when(r.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
 
 
-def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(col_a, col_b, r)`` for every unordered pair, in column order."""
+def _centers(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Means of the columns that have no nulls and more than one value."""
+    measures = (("n", F.count), ("m", F.avg), ("lo", F.min), ("hi", F.max))
+    row = df.agg(
+        F.count("*").alias("rows"),
+        *(f(as_double(c)).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in measures),
+    ).first()
+    return {
+        c: row[f"m{i}"]
+        for i, c in enumerate(columns)
+        if row[f"n{i}"] == row["rows"] and row[f"lo{i}"] != row[f"hi{i}"]
+    }
+
+
+def pearson_pairs(
+    df: DataFrame, columns: Sequence[str], centers: Mapping[str, float] | None = None
+) -> DataFrame:
+    """``(col_a, col_b, r)`` for every unordered pair, in column order.
+
+    Two null-free columns need only sums of products around their means, and
+    the sums of one column serve all its pairs.  Pairs with nulls need spreads
+    of their own.  ``centers`` gives the means of null-free columns if known.
+    """
+    means = _centers(df, columns) if centers is None else centers
     pairs = list(combinations(columns, 2))
     scans = []
     for start in range(0, len(pairs), PAIRS_PER_SCAN):
         part = pairs[start : start + PAIRS_PER_SCAN]
-        row = df.agg(*(pearson(as_double(a), as_double(b)).alias(f"r{i}") for i, (a, b) in enumerate(part)))
+        row = df.agg(*(_pair_correlation(a, b, means).alias(f"r{i}") for i, (a, b) in enumerate(part)))
         scans.append(
             rows_from_struct(
                 row,
@@ -41,6 +66,13 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return reduce(DataFrame.unionAll, scans)
 
 
+def _pair_correlation(a: str, b: str, means: Mapping[str, float]) -> Column:
+    if a not in means or b not in means:
+        return pearson(as_double(a), as_double(b))
+    x, y = as_double(a) - F.lit(means[a]), as_double(b) - F.lit(means[b])
+    return _clamped(F.try_divide(F.sum(x * y), F.sqrt(F.sum(x * x)) * F.sqrt(F.sum(y * y))))
+
+
 def _rank_pairs(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Spearman for columns without nulls: replace values by average ranks, then Pearson.
 
@@ -49,13 +81,14 @@ def _rank_pairs(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     rows = rows.select(*((as_double(c) + 0.0).alias(c) for c in columns))
     ranked = rows
+    middle = (rows.count() + 1) / 2
     for c in columns:
         counts = rows.groupBy(c).agg(F.count("*").alias("n"))
         ranks = ordered_totals(counts, [c], ["n"]).select(
             c, "n", (F.col("before_n") + (F.col("n") + 1) / 2).alias("__rank")
         )
         ranked = lookup_join(ranked, ranks, c, "n").drop(c).withColumnRenamed("__rank", c)
-    return pearson_pairs(ranked, columns)
+    return pearson_pairs(ranked, columns, dict.fromkeys(columns, middle))
 
 
 def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:

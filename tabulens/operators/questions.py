@@ -87,7 +87,7 @@ def mentioned_column(question: Column, columns: Sequence[str]) -> Column:
     """The longest column name that appears as whole words, or NULL."""
     lowered = F.lower(question)
     out = F.lit(None).cast("string")
-    for name in sorted(columns, key=len):
+    for name in reversed(sorted(columns, key=len, reverse=True)):
         pattern = r"(?U)\b" + re.sub(r"(\W)", r"\\\1", name.lower()) + r"\b"
         out = F.when(lowered.rlike(pattern), F.lit(name)).otherwise(out)
     return out

@@ -122,7 +122,7 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, multiline:
         raise DataLoadError(f"'{path}' produced an empty DataFrame.")
     sample = "\n".join(lines)[:SAMPLE_BYTES]
     sep = sep or detect_delimiter(sample)
-    header = next(csv.reader([lines[0].lstrip("﻿")], delimiter=sep))
+    header = next(csv.reader([lines[0].lstrip("\ufeff")], delimiter=sep))
     schema = T.StructType([T.StructField(n, T.StringType()) for n in normalise_names(header)])
     reader = spark.read.schema(schema).option("header", True).option("sep", sep).option("escape", '"')
     return infer_types(missing_to_null(reader.option("multiLine", multiline).csv(path)))
