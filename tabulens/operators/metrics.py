@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import AnalysisError, as_double, quoted
+from ..functions.columns import AnalysisError, as_double, quoted, small_frame
 from ..functions.ordered import lookup_join, ordered_totals
 
 
@@ -257,3 +258,9 @@ def silhouette_sq(df: DataFrame, features: str = "features", cluster: str = "clu
         return None
     evaluator = ClusteringEvaluator(featuresCol=features, predictionCol=cluster, distanceMeasure="squaredEuclidean")
     return evaluator.evaluate(df)
+
+
+def silhouette_frame(df: DataFrame, vector: str = "vector", cluster: str = "cluster") -> DataFrame:
+    """The same for an array column, as a one-row DataFrame."""
+    rows = df.select(array_to_vector(vector).alias("features"), quoted(cluster).cast("double").alias("cluster"))
+    return small_frame(df.sparkSession, [(silhouette_sq(rows, "features", "cluster"),)], "silhouette_sq double")

@@ -17,7 +17,7 @@ from .registry import GAPS, MEASURES, Tables, query, r, rounded, union
     stats_sql("gaps", ["user_id", "value"], f"WITH {GAPS} ", ", count(*) - count({c}) AS null_count"),
 )
 def numeric_univariate(t: Tables):
-    return rounded(E.numeric_univariate(t.gaps, ["user_id", "value"]))
+    return rounded(E.numeric_univariate(t.gaps, ["user_id", "value"]), mean=7)
 
 
 def shares_sql(table: str, columns: list[str], n: int, before: str = "") -> str:
@@ -154,7 +154,7 @@ def class_balance(t: Tables):
     stats_sql("part", ["p_retailprice"], extra=", count(*) - count({c}) AS null_count"),
 )
 def target_distribution(t: Tables):
-    return rounded(E.target_distribution(t.part, "p_retailprice")[0])
+    return rounded(E.target_distribution(t.part, "p_retailprice")[0], mean=7)
 
 
 @query("target_histogram", histogram_sql("part", ["p_retailprice"], 10))

@@ -1 +1,129 @@
-"""Placeholder."""
+"""Modelling queries. Fitted scores have no SQL form; task detection and the metrics do."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tabulens.functions.columns import small_frame
+from tabulens.operators import charts as G
+from tabulens.operators import modelling as L
+
+from .registry import Tables, query, union
+
+
+@query(
+    "detect_task",
+    union(
+        [
+            f"""SELECT '{c}' AS target, '{task}' AS task, (SELECT count(*) FROM lineitem) AS n_rows, count(DISTINCT {c}) AS n_unique,
+  {f'count(DISTINCT {c})' if classes else 'CAST(NULL AS BIGINT)'} AS n_classes, {over} AS is_override FROM lineitem"""
+            for c, task, classes, over in [
+                ("l_returnflag", "classification", True, "false"),
+                ("l_quantity", "classification", True, "false"),
+                ("l_extendedprice", "regression", False, "false"),
+                ("l_tax", "regression", True, "true"),
+            ]
+        ]
+        + ["SELECT NULL, 'clustering', NULL, NULL, NULL, false"]
+    ),
+)
+def detect_task(t: Tables):
+    parts = [
+        L.detect_task(t.lineitem, c, override).withColumn("target", F.lit(c).cast("string"))
+        for c, override in [
+            ("l_returnflag", None),
+            ("l_quantity", None),
+            ("l_extendedprice", None),
+            ("l_tax", "regression"),
+            (None, None),
+        ]
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def graded_documents(t: Tables) -> DataFrame:
+    return t.labels.join(t.documents, "doc_id").select("quality", "n_chars", "lang", "source", "toxic")
+
+
+def priced_parts(t: Tables) -> DataFrame:
+    return t.part.select("p_retailprice", "p_partkey", "p_size", "p_brand", "p_type")
+
+
+def accounts(t: Tables) -> DataFrame:
+    return t.customer.select("c_acctbal", "c_nationkey", "c_mktsegment")
+
+
+@query("split_rows")
+def split_rows(t: Tables):
+    train, test = L.split_rows(t.orders, stratify="o_orderstatus")
+    sides = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
+    return sides.groupBy("side", "o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query("train_classification")
+def train_classification(t: Tables):
+    results = L.train_models(graded_documents(t), "quality", L.CLASSIFICATION, folds=0)
+    return L.compare_models(results)
+
+
+@query("train_classification_many")
+def train_classification_many(t: Tables):
+    flags = t.orders.select("o_orderstatus", "o_totalprice", "o_custkey", "o_orderpriority")
+    results = L.train_models(flags, "o_orderstatus", L.CLASSIFICATION, folds=0, models=["Logistic Regression", "Random Forest"])
+    return L.compare_models(results)
+
+
+@query("train_regression")
+def train_regression(t: Tables):
+    results = L.train_models(priced_parts(t), "p_retailprice", L.REGRESSION, folds=0)
+    return L.best_model(L.compare_models(results))
+
+
+@query("cross_validation")
+def cross_validation(t: Tables):
+    results = L.train_models(priced_parts(t), "p_retailprice", L.REGRESSION, models=["Linear Regression"])
+    return L.compare_models(results)
+
+
+@query("train_clusters")
+def train_clusters(t: Tables):
+    return L.compare_models(L.train_models(accounts(t), None, L.CLUSTERING, n_clusters=4))
+
+
+@query("elbow")
+def elbow(t: Tables):
+    found = L.train_models(accounts(t), None, L.CLUSTERING)[0]
+    rows = [(k, cost, k == found.n_clusters) for k, cost in found.elbow.items()]
+    return small_frame(t.spark, rows, "k int, inertia double, chosen boolean")
+
+
+@query("cluster_assignments")
+def cluster_assignments(t: Tables):
+    return L.cluster_assignments(L.train_models(accounts(t), None, L.CLUSTERING, n_clusters=3)[0])
+
+
+@query("tree_importance")
+def tree_importance(t: Tables):
+    forest = L.train_models(priced_parts(t), "p_retailprice", L.REGRESSION, folds=0, models=["Random Forest Regressor"])[0]
+    return G.importance_bars(L.feature_importance(forest))
+
+
+@query("permutation_importance")
+def permutation_importance(t: Tables):
+    line = L.train_models(priced_parts(t), "p_retailprice", L.REGRESSION, folds=0, models=["Linear Regression"])[0]
+    return L.feature_importance(line)
+
+
+@query("cluster_importance")
+def cluster_importance(t: Tables):
+    return L.feature_importance(L.train_models(accounts(t), None, L.CLUSTERING, n_clusters=3)[0])
+
+
+@query("model_confusion")
+def model_confusion(t: Tables):
+    flags = t.orders.select("o_orderstatus", "o_totalprice", "o_custkey", "o_orderpriority")
+    model = L.train_models(flags, "o_orderstatus", L.CLASSIFICATION, folds=0, models=["Logistic Regression"])[0]
+    return L.confusion_matrix(model)

@@ -20,7 +20,7 @@ GAP_COLUMNS = ["event_id", "user_id", "event_type", "value"]
 
 def stats_sql(table: str, columns: list[str], before: str = "", extra: str = "") -> str:
     def one(c: str) -> str:
-        return f"""SELECT '{c}' AS "column", count({c}) AS count, {r(f'avg({c})')} AS mean,
+        return f"""SELECT '{c}' AS "column", count({c}) AS count, {r(f'avg({c})', 7)} AS mean,
   {r(quartile(c, 0.5))} AS median, {r(f'CASE WHEN count({c}) = 1 THEN 0 ELSE stddev_samp({c}) END')} AS std,
   CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max,
   {r(quartile(c, 0.25))} AS q1, {r(quartile(c, 0.75))} AS q3,
@@ -100,12 +100,12 @@ def cardinality(t: Tables):
 
 @query("numeric_stats", stats_sql("lineitem", MEASURES))
 def numeric_stats(t: Tables):
-    return rounded(P.numeric_stats(t.lineitem, MEASURES))
+    return rounded(P.numeric_stats(t.lineitem, MEASURES), mean=7)
 
 
 @query("numeric_stats_nulls", stats_sql("gaps", ["event_id", "user_id", "value"], f"WITH {GAPS} "))
 def numeric_stats_nulls(t: Tables):
-    return rounded(P.numeric_stats(t.gaps))
+    return rounded(P.numeric_stats(t.gaps), mean=7)
 
 
 def mode_sql(c: str, table: str) -> str:
