@@ -17,7 +17,7 @@ from ..functions.columns import (
     small_frame,
 )
 from ..functions.ordered import lookup_join
-from ..functions.quantiles import group_quantile_frame
+from ..functions.quantiles import exact_quantiles, group_quantile_frame
 from . import explore, metrics
 from .clean import parsed_time
 from .profile import correlation_matrix, top_values
@@ -54,18 +54,20 @@ def kernel_density(df: DataFrame, column: str, x_col: str | None = None, points:
     if column not in numeric_columns(df) or not has_columns(df, x_col):
         return _empty(df, schema)
     rows = _grouped_values(df, column, x_col)
-    groups = (
-        rows.groupBy("category")
-        .agg(
-            F.count("*").alias("n"),
-            F.min("y").alias("lo"),
-            F.max("y").alias("hi"),
-            (F.stddev_samp("y") * F.pow(F.count("*").cast("double"), F.lit(-0.2))).alias("width"),
-        )
-        .where("width > 0")
-        .withColumn("size", F.col("n"))
+    measures = (
+        F.count("*").alias("n"),
+        F.min("y").alias("lo"),
+        F.max("y").alias("hi"),
+        (F.stddev_samp("y") * F.pow(F.count("*").cast("double"), F.lit(-0.2))).alias("width"),
     )
-    spread = lookup_join(rows, groups, "category", "size")
+    if x_col is None:
+        row = rows.agg(*measures).first()
+        if not row.width:
+            return _empty(df, schema)
+        spread = rows.select("*", *(F.lit(v).alias(n) for n, v in row.asDict().items()))
+    else:
+        groups = rows.groupBy("category").agg(*measures).where("width > 0").withColumn("size", F.col("n"))
+        spread = lookup_join(rows, groups, "category", "size")
     at = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("point") / F.lit(points - 1)
     z = (at - F.col("y")) / F.col("width")
     return (
@@ -174,14 +176,19 @@ BOX_SCHEMA = (
 
 def _with_fences(df: DataFrame, y_col: str, x_col: str | None) -> DataFrame:
     rows = _grouped_values(df, y_col, x_col)
-    quartiles = group_quantile_frame(rows, "category", "y").select(
-        "category", "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
-    )
+    if x_col is None:
+        found = exact_quantiles(rows, ["y"])
+        values = [found.counts["y"], *found.values.values()]
+        fenced = rows.select("*", *(F.lit(v).alias(n) for n, v in zip(("rows", "q1", "median", "q3"), values)))
+        if not found.counts["y"]:
+            return _empty(df, "category string, y double, rows bigint, q1 double, median double, q3 double, inside boolean")
+    else:
+        quartiles = group_quantile_frame(rows, "category", "y").select(
+            "category", "n", F.col("n").alias("rows"), F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
+        )
+        fenced = lookup_join(rows, quartiles, "category", "n")
     reach = (F.col("q3") - F.col("q1")) * 1.5
-    fenced = lookup_join(rows, quartiles.withColumn("rows", F.col("n")), "category", "n")
-    return fenced.withColumn(
-        "inside", F.col("y").between(F.col("q1") - reach, F.col("q3") + reach)
-    )
+    return fenced.withColumn("inside", F.col("y").between(F.col("q1") - reach, F.col("q3") + reach))
 
 
 def box_plot(df: DataFrame, y_col: str, x_col: str | None = None) -> DataFrame:
@@ -190,7 +197,7 @@ def box_plot(df: DataFrame, y_col: str, x_col: str | None = None) -> DataFrame:
         return _empty(df, BOX_SCHEMA)
     return (
         _with_fences(df, y_col, x_col)
-        .groupBy("category", F.col("rows").alias("n"), "q1", "median", "q3")
+        .groupBy("category", F.col("rows").cast("bigint").alias("n"), "q1", "median", "q3")
         .agg(
             F.min(F.when(F.col("inside"), F.col("y"))).alias("lower_whisker"),
             F.max(F.when(F.col("inside"), F.col("y"))).alias("upper_whisker"),
