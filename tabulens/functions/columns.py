@@ -99,6 +99,15 @@ def rows_from_struct(df: DataFrame, structs: Sequence[Column]) -> DataFrame:
     return df.select(F.inline(F.array(*structs)))
 
 
+def melted(df: DataFrame, entries: Sequence[Column], keep: str, *carry: Column) -> DataFrame:
+    """One row per entry whose field ``keep`` is not NULL, with the ``carry`` columns beside it.
+
+    The filter comes after the expansion: dropping entries inside the array
+    would need a lambda, which runs outside generated code.
+    """
+    return df.select(*carry, F.inline(F.array(*entries))).where(quoted(keep).isNotNull())
+
+
 def small_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A DataFrame from a few summary rows; goes over Arrow as a local relation."""
     fields = [part.strip().split(" ", 1) for part in schema.split(", ")]

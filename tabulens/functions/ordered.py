@@ -5,10 +5,12 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
+ROW_OVERHEAD = 24
 HOT_SHARE = 1_000
 
 
@@ -66,17 +68,32 @@ def ordered_totals(
     )
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """What a row takes in a broadcast table, text and arrays by their actual length."""
+    total = F.lit(ROW_OVERHEAD)
+    for f in df.schema:
+        c = F.col(f.name)
+        if isinstance(f.dataType, T.StringType):
+            width = F.octet_length(c)
+        elif isinstance(f.dataType, T.ArrayType):
+            width = F.size(c) * 8
+        else:
+            width = F.lit(8)
+        total = total + F.coalesce(width, F.lit(0))
+    return total.cast("bigint")
+
+
 def lookup_join(
     rows: DataFrame, table: DataFrame, key: str, weight: str, how: str = "inner"
 ) -> DataFrame:
     """Join ``rows`` (inner or left) with a table that has one row per ``key``.
 
     ``weight`` is how many rows carry the key.  A small table is broadcast after
-    counting it.  Otherwise only the hot keys (at most ``HOT_SHARE``) are
+    adding up its bytes.  Otherwise only the hot keys (at most ``HOT_SHARE``) are
     broadcast, and the remaining rows, which have no hot key, are shuffled.
     """
-    size, total = table.agg(F.count("*"), F.sum(weight)).first()
-    if size <= BROADCAST_ROWS:
+    size, total = table.agg(F.sum(_row_bytes(table)), F.sum(weight)).first()
+    if (size or 0) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(table.drop(weight)), key, how)
     table = stable(table)
     is_hot = F.col(weight) > F.lit(total / HOT_SHARE)

@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .columns import as_double, quoted, small_frame
+from .columns import as_double, melted, quoted, small_frame
 from .ordered import ordered_totals
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -228,15 +228,14 @@ class _Search:
         for s in slots:
             any_inside = any_inside | self.inside(s)
             entries.append(
-                F.when(
-                    self.inside(s),
-                    F.struct(F.lit(s).alias("slot"), (as_double(self.slots[s][0]) + 0.0).alias("value")),
+                F.struct(
+                    F.lit(s).alias("slot"),
+                    F.when(self.inside(s), as_double(self.slots[s][0]) + 0.0).alias("value"),
                 )
             )
         key = [] if self.key is None else [self.key]
         counts = (
-            frame.where(any_inside)
-            .select(*key, F.inline(F.array_compact(F.array(*entries))))
+            melted(frame.where(any_inside), entries, "value", *map(F.col, key))
             .groupBy(*key, "slot", "value")
             .agg(F.count("*").alias("n"))
         )
@@ -302,10 +301,10 @@ def exact_group_quantiles(
     max_groups: int = BRACKETED_GROUPS,
 ) -> list[QuantileRow] | None:
     """The same per value of the text column ``key``; None beyond ``max_groups``."""
-    search = _Search(df, columns, probs, key, accuracy, residual_rows)
-    rows = df.groupBy(key).agg(*search.first_pass()).limit(max_groups + 1).collect()
-    if len(rows) > max_groups:
+    if df.select(key).distinct().limit(max_groups + 1).count() > max_groups:
         return None
+    search = _Search(df, columns, probs, key, accuracy, residual_rows)
+    rows = df.groupBy(key).agg(*search.first_pass()).collect()
     if not rows:
         return []
     for row in rows:

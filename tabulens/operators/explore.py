@@ -17,6 +17,7 @@ from ..functions.columns import (
     as_double,
     as_text,
     category_columns,
+    melted,
     nan_to_null,
     numeric_columns,
     quoted,
@@ -80,29 +81,34 @@ def _edge_frame(df: DataFrame, edges: dict[str, np.ndarray], name: str = "column
     return small_frame(df.sparkSession, rows, HISTOGRAM_SCHEMA.replace("column", name, 1))
 
 
-def _bin_index(x: Column, edges: np.ndarray, right_closed: bool) -> Column:
-    """Bin by arithmetic, then one step left or right where the exact edges say so."""
-    lo, hi, n = float(edges[0]), float(edges[-1]), len(edges) - 1
-    bounds = F.array(*(F.lit(float(e)) for e in edges))
-    guess = F.least(F.greatest(F.floor((x - lo) / (hi - lo) * n), F.lit(0)), F.lit(n - 1)).cast("int")
-    low, high = F.get(bounds, guess), F.get(bounds, guess + 1)
+def _binned(df: DataFrame, edges: dict[str, np.ndarray], name: str, right_closed: bool, *carry: str) -> DataFrame:
+    """``(name, bin, carry...)`` for every non-null value of every binned column.
+
+    The bin comes from arithmetic, then moves one step where the exact edges
+    say so.  Columns are unpivoted first, so that one expression serves all.
+    """
+    columns, n = list(edges), len(next(iter(edges.values()))) - 1
+
+    def literal(values) -> Column:
+        return F.array(*(F.lit(v) for v in values))
+
+    slot, x, guess = F.col("__slot"), F.col("__x"), F.col("__guess")
+    lo = F.get(literal(float(edges[c][0]) for c in columns), slot)
+    span = F.get(literal(float(edges[c][-1] - edges[c][0]) for c in columns), slot)
+    bounds = literal(float(e) for c in columns for e in edges[c])
+    low, high = (F.get(bounds, slot * (n + 1) + guess + step) for step in (0, 1))
     if right_closed:
         left, right = (x <= low) & (guess > 0), x > high
     else:
         left, right = x < low, (x >= high) & (guess < n - 1)
-    return F.when(left, guess - 1).when(right, guess + 1).otherwise(guess).cast("int")
-
-
-def _binned(df: DataFrame, edges: dict[str, np.ndarray], name: str, right_closed: bool, *carry: Column) -> DataFrame:
-    """``(name, bin, carry...)`` for every non-null value of every binned column."""
-    entries = [
-        F.when(
-            as_double(c).isNotNull(),
-            F.struct(F.lit(c).alias(name), _bin_index(as_double(c), e, right_closed).alias("bin")),
-        )
-        for c, e in edges.items()
-    ]
-    return df.select(*carry, F.inline(F.array_compact(F.array(*entries))))
+    entries = [F.struct(F.lit(i).alias("__slot"), as_double(c).alias("__x")) for i, c in enumerate(columns)]
+    placed = F.least(F.greatest(F.floor((x - lo) / span * n), F.lit(0)), F.lit(n - 1)).cast("int")
+    return (
+        melted(df, entries, "__x", *map(quoted, carry))
+        .withColumn("__guess", placed)
+        .withColumn("bin", F.when(left, guess - 1).when(right, guess + 1).otherwise(guess).cast("int"))
+        .select(*map(quoted, carry), F.get(literal(columns), slot).alias(name), "bin")
+    )
 
 
 def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 10) -> DataFrame:
@@ -281,7 +287,7 @@ def target_mean_by_bin(
             edges[c] = np.linspace(lo, hi, bins + 1)
             edges[c][0] -= (hi - lo) * 0.001
     means = (
-        _binned(known, edges, "feature", True, as_double(target).alias("__y"))
+        _binned(known.withColumn("__y", as_double(target)), edges, "feature", True, "__y")
         .groupBy("feature", "bin")
         .agg(F.count("*").alias("count"), F.avg("__y").alias("mean_target"))
     )

@@ -13,6 +13,7 @@ from ..functions.columns import (
     as_text,
     category_columns,
     finite,
+    melted,
     nan_to_null,
     numeric_columns,
     plain_columns,
@@ -155,16 +156,8 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     One scan and one grouping for all columns; equal values are combined
     before the shuffle, so a dominant value is no hot spot.
     """
-    entries = [
-        F.when(as_text(c).isNotNull(), F.struct(F.lit(c).alias("column"), as_text(c).alias("value")))
-        for c in columns
-    ]
-    return (
-        nan_to_null(df)
-        .select(F.inline(F.array_compact(F.array(*entries))))
-        .groupBy("column", "value")
-        .agg(F.count("*").alias("n"))
-    )
+    entries = [F.struct(F.lit(c).alias("column"), as_text(c).alias("value")) for c in columns]
+    return melted(nan_to_null(df), entries, "value").groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, top_n: int = 10) -> DataFrame:

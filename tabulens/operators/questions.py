@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +56,17 @@ def _whole_words(words: str) -> str:
     return rf"\b({words})\b"
 
 
+# A word of each class holds one of these, and looking for them is far cheaper than the patterns.
+STEMS = {
+    COUNT: ("how many", "count", "number", " rows", "size of", "how large"),
+    AVERAGE: ("average", "avg", "mean", "typical", "median"),
+    SUM: ("total", "sum", "aggregate", "cumulative", "combined"),
+    CORRELATION: ("relat",),
+    MAX_CATEGORY: ("highest", "most", "largest", "maximum", "top", "biggest", "best", "peak", "greatest"),
+    DISTRIBUTION: ("distribut", "spread", "breakdown", "frequency", "histogram", "value counts"),
+    SUMMARY: ("summar", "describe", "overview", "tell me about", "what does", "about this dataset", "what is in"),
+}
+
 INTENT_PATTERNS = (
     (COUNT, _whole_words(COUNT_WORDS)),
     (AVERAGE, _whole_words(AVERAGE_WORDS)),
@@ -68,17 +80,26 @@ INTENT_PATTERNS = (
     (SUMMARY, _whole_words(SUMMARY_WORDS)),
 )
 
-# Case-blind over all scripts, Unicode word edges, and only \n ends a line.
-JAVA_FLAGS = "(?iuUd)"
+# Unicode word edges, and only \n ends a line.
+JAVA_FLAGS = "(?Ud)"
+
+# The letters outside ASCII that a case-blind match takes for ASCII ones.
+LOOKALIKES, PLAIN = "\u0130\u0131\u017f\u212a", "iisk"
 
 ANSWER_SCHEMA = "intent string, cat_col string, num_col string, any_col string, position int, key string, text string, number double, error string"
 
 
-def question_intent(question: Column) -> Column:
-    """The first class whose words appear, else UNSUPPORTED."""
+def folded(question: Column) -> Column:
+    """The text in lower case, for ``question_intent``."""
+    return F.lower(F.translate(question, LOOKALIKES, PLAIN))
+
+
+def question_intent(text: Column) -> Column:
+    """The first class whose words appear in a folded text, else UNSUPPORTED."""
     out = None
     for intent, pattern in INTENT_PATTERNS:
-        hit = question.rlike(JAVA_FLAGS + pattern)
+        stem = reduce(lambda a, s: a | text.contains(s), STEMS[intent], F.lit(False))
+        hit = stem & text.rlike(JAVA_FLAGS + pattern)
         out = F.when(hit, intent) if out is None else out.when(hit, intent)
     return out.otherwise(UNSUPPORTED)
 
@@ -95,7 +116,11 @@ def mentioned_column(question: Column, columns: Sequence[str]) -> Column:
 
 def classify_questions(questions: DataFrame, question: str = "question") -> DataFrame:
     require_columns(questions, [question])
-    return questions.withColumn("intent", question_intent(quoted(question)))
+    return (
+        questions.withColumn("__folded", folded(quoted(question)))
+        .withColumn("intent", question_intent(F.col("__folded")))
+        .drop("__folded")
+    )
 
 
 def column_mentions(questions: DataFrame, columns: Sequence[str], question: str = "question") -> DataFrame:
@@ -109,10 +134,10 @@ def parse_questions(questions: DataFrame, df: DataFrame, question: str = "questi
     empty = text.isNull() | (F.trim(F.regexp_replace(text, r"\s", " ")) == "")
     numbers = numeric_columns(df)
     first = df.columns[0] if df.columns else None
-    parsed = questions.select(
-        "*",
-        empty.alias("__empty"),
-        F.when(empty, UNSUPPORTED).otherwise(question_intent(text)).alias("intent"),
+    parsed = (
+        questions.select("*", empty.alias("__empty"), folded(text).alias("__folded"))
+        .withColumn("intent", F.when(F.col("__empty"), UNSUPPORTED).otherwise(question_intent(F.col("__folded"))))
+        .drop("__folded")
     )
     intent = F.col("intent")
     return parsed.select(

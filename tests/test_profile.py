@@ -99,7 +99,7 @@ def test_pearson_perfect_constant_and_pairwise_nulls(frame):
 @pytest.mark.parametrize("large", [False, True])
 def test_spearman_agrees_with_pandas(spark, monkeypatch, large):
     if large:
-        monkeypatch.setattr(ordered, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(ordered, "BROADCAST_BYTES", 0)
         monkeypatch.setattr(ordered, "HOT_SHARE", 4)
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame({"a": rng.integers(0, 5, 200).astype(float), "b": rng.normal(size=200), "c": rng.normal(size=200)})

@@ -86,7 +86,7 @@ def test_ordered_totals_restart_within_groups(spark):
 @pytest.mark.parametrize("small", [True, False])
 def test_lookup_join_keeps_every_row_with_hot_keys(spark, monkeypatch, how, expected, small):
     if not small:
-        monkeypatch.setattr(ordered, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(ordered, "BROADCAST_BYTES", 0)
         monkeypatch.setattr(ordered, "HOT_SHARE", 5)
     rows = spark.range(100).select(F.when(F.col("id") < 50, 0).otherwise(F.col("id")).alias("k"), "id")
     table = spark.range(90).select(F.col("id").alias("k"), (F.col("id") * 10).alias("payload"))
