@@ -16,8 +16,13 @@ def columns_of(spark, **arrays):
     return spark.createDataFrame(pd.DataFrame(arrays)).repartition(3)
 
 
-@pytest.mark.parametrize("accuracy,residual", [(10_000, 1_000_000), (20, 30), (50, 1)])
-def test_quantiles_equal_numpy_however_tight_the_brackets(spark, accuracy, residual):
+WIDE = {}
+TIGHT = {"sketch_k": 200, "whole_rows": 10, "residual_rows": 30}
+ROUGH = {"sketch_k": 128, "whole_rows": 0, "residual_rows": 1}
+
+
+@pytest.mark.parametrize("effort", [WIDE, TIGHT, ROUGH])
+def test_quantiles_equal_numpy_however_tight_the_brackets(spark, effort):
     rng = np.random.default_rng(7)
     data = {
         "continuous": rng.normal(size=3000),
@@ -27,7 +32,7 @@ def test_quantiles_equal_numpy_however_tight_the_brackets(spark, accuracy, resid
         "constant": np.full(3000, 0.1),
         "tails": np.concatenate([np.full(1490, -1e9), rng.uniform(size=20), np.full(1490, 1e9)]),
     }
-    found = exact_quantiles(columns_of(spark, **data), list(data), PROBS, accuracy=accuracy, residual_rows=residual)
+    found = exact_quantiles(columns_of(spark, **data), list(data), PROBS, **effort)
     for name, values in data.items():
         for p in PROBS:
             assert found.values[(name, p)] == pytest.approx(np.quantile(values, p), rel=1e-12), (name, p)
@@ -41,13 +46,13 @@ def test_nulls_are_left_out_and_empty_columns_give_none(frame):
     assert found.extra["s"] == 5.0
 
 
-@pytest.mark.parametrize("accuracy,residual", [(10_000, 1_000_000), (20, 25)])
-def test_group_quantiles_with_a_hot_group(spark, accuracy, residual):
+@pytest.mark.parametrize("effort", [WIDE, TIGHT, ROUGH])
+def test_group_quantiles_with_a_hot_group(spark, effort):
     rng = np.random.default_rng(3)
     keys = np.where(np.arange(2400) % 2 == 0, "hot", np.char.add("k", (np.arange(2400) % 7).astype(str)))
     values = np.where(np.arange(2400) % 5 == 0, 3.0, rng.exponential(size=2400))
     df = columns_of(spark, k=keys, v=values)
-    rows = exact_group_quantiles(df, "k", ["v"], (0.25, 0.5), accuracy=accuracy, residual_rows=residual)
+    rows = exact_group_quantiles(df, "k", ["v"], (0.25, 0.5), **effort)
     many = {r.k: r for r in many_group_quantiles(df, "k", "v", (0.25, 0.5)).collect()}
     assert len(rows) == len(many) == 8
     for row in rows:
