@@ -309,10 +309,13 @@ def exact_group_quantiles(
     sketch_k: int = SKETCH_K,
     whole_rows: int = WHOLE_ROWS,
     residual_rows: int = RESIDUAL_ROWS,
-    max_groups: int = BRACKETED_GROUPS,
+    max_groups: int | None = BRACKETED_GROUPS,
 ) -> list[QuantileRow] | None:
-    """The same per value of the text column ``key``; None beyond ``max_groups``."""
-    if df.select(key).distinct().limit(max_groups + 1).count() > max_groups:
+    """The same per value of the text column ``key``; None beyond ``max_groups``.
+
+    ``max_groups=None`` is for a caller that has checked the number of groups.
+    """
+    if max_groups is not None and df.select(key).distinct().limit(max_groups + 1).count() > max_groups:
         return None
     search = _Search(df, columns, probs, key, sketch_k, whole_rows, residual_rows)
     search.begin()

@@ -197,17 +197,17 @@ def group_summary(
         sizes = {r.column: r.cardinality for r in cardinality(df, keys).collect()}
         for key in keys:
             if 0 < sizes[key] <= max_groups:
-                rows += _one_group_summary(df, key, measures, max_groups)
+                rows += _one_group_summary(df, key, measures)
     return small_frame(df.sparkSession, rows, schema)
 
 
-def _one_group_summary(df: DataFrame, key: str, measures: Sequence[str], max_groups: int) -> list[tuple]:
+def _one_group_summary(df: DataFrame, key: str, measures: Sequence[str]) -> list[tuple]:
     slim = df.where(quoted(key).isNotNull()).select(
         as_text(key).alias("__key"), *(as_double(m).alias(f"m{i}") for i, m in enumerate(measures))
     )
     columns = [f"m{i}" for i in range(len(measures))]
     extra = [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("avg", F.avg), ("sum", F.sum))]
-    found = exact_group_quantiles(slim, "__key", columns, [0.5], extra, max_groups=max_groups)
+    found = exact_group_quantiles(slim, "__key", columns, [0.5], extra, max_groups=None)
     return [
         (key, g.key, m, g.extra[f"avg_{c}"], g.extra[f"sum_{c}"], g.counts[c], g.values[(c, 0.5)])
         for g in found
