@@ -169,11 +169,6 @@ def time_series(t: Tables):
     return G.time_series(t.orders, "o_orderdate", ["o_totalprice", "o_custkey", "no_such_column"])
 
 
-@query("missing_column_guard")
-def missing_column_guard(t: Tables):
-    return G.box_plot(t.orders, "no_such_column").unionByName(G.box_plot(t.orders, "o_totalprice", "no_such_column"))
-
-
 # --- sources ----------------------------------------------------------------
 
 RAW = """CAST(o_orderkey AS STRING) AS whole,
