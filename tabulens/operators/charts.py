@@ -278,7 +278,10 @@ def principal_axes(df: DataFrame, features: Sequence[str], k: int) -> list[list[
 
 
 def time_series(df: DataFrame, time_col: str, value_cols: Sequence[str]) -> DataFrame:
-    """``(time, series, value)`` in time order; text times are parsed."""
+    """``(time, series, value)`` in time order; text times are parsed.
+
+    The value is part of the order so that one crowded moment can be split over tasks.
+    """
     chosen = [c for c in value_cols if c in df.columns]
     if not has_columns(df, time_col) or not chosen:
         return df.sparkSession.createDataFrame([], "time timestamp, series string, value double")
@@ -287,5 +290,5 @@ def time_series(df: DataFrame, time_col: str, value_cols: Sequence[str]) -> Data
     return (
         df.select(parsed_time(df, time_col).alias("time"), F.inline(entries))
         .where(F.col("time").isNotNull())
-        .orderBy("time", "series")
+        .orderBy("time", "series", "value")
     )

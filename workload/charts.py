@@ -13,8 +13,10 @@ from .registry import GAPS, JUDGED, SPIKES, Tables, quartile, query, r, rounded,
 
 @query(
     "histogram_bars",
-    f"""SELECT bin, lo, hi, count, {r('count / ((SELECT count(*) FROM part) * (hi0 - lo0))', 8)} AS density FROM
-  (SELECT *, lo AS lo0, hi AS hi0 FROM ({histogram_sql('part', ['p_retailprice'], 30)}))""",
+    # The width comes from the column itself: the edges of the inner query are already rounded.
+    f"""SELECT bin, lo, hi, count,
+  {r('count / ((SELECT count(*) * (max(p_retailprice) - min(p_retailprice)) / 30 FROM part))', 8)} AS density
+FROM ({histogram_sql('part', ['p_retailprice'], 30)})""",
 )
 def histogram_bars(t: Tables):
     return rounded(G.histogram_bars(t.part, "p_retailprice"), density=8)
