@@ -39,6 +39,10 @@ def group_hash(i: Column, size: int) -> Column:
     return F.xxhash64(*(F.get(F.col("w"), i + j) for j in range(size)))
 
 
+def all_groups(size: int) -> Column:
+    return F.transform(places(F.col("n") - size), lambda i: group_hash(i, size))
+
+
 def window_text(i: Column, size: int) -> Column:
     return F.concat_ws(" ", *(F.get(F.col("w"), i + j) for j in range(size)))
 
@@ -80,8 +84,7 @@ def hit_places(docs: DataFrame, items: DataFrame, text: str, item_text: str, spa
     hits = found.join(small(written(known, "fingerprints")), "h", "left_semi").select("key", F.lit(span).alias("size"), "place")
     for size in sorted(r.n for r in item_rows.where(F.col("n") < span).select("n").distinct().collect()):  # fewer than SPAN
         short = item_rows.where(F.col("n") == size).select(group_hash(F.lit(0), size).alias("h")).distinct()
-        groups = F.transform(places(F.col("n") - size), lambda i, size=size: group_hash(i, size))
-        found = doc_rows.select("key", F.posexplode_outer(groups).alias("place", "h"))
+        found = doc_rows.select("key", F.posexplode_outer(all_groups(size)).alias("place", "h"))
         found = found.join(small(written(short, "short")), "h", "left_semi")
         hits = hits.unionByName(found.select("key", F.lit(size).alias("size"), "place"))
     return hits.distinct()

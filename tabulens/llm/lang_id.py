@@ -89,6 +89,8 @@ def train(sample: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray) ->
         return Model()
     place = {lang: i for i, lang in enumerate(langs)}
     rows = [(place[lang], g, c / c.sum() * idf[g]) for lang, g, c in sample if len(g)]
+    if not rows:
+        return Model()
     aside = rows[::ASIDE] if len(rows) >= 2 * ASIDE else rows
     learned = [r for i, r in enumerate(rows) if i % ASIDE] if len(rows) >= 2 * ASIDE else rows
     z, n = np.zeros((FEATURES, len(langs))), np.zeros((FEATURES, len(langs)))
@@ -175,8 +177,14 @@ def fit(df: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str
     return train([(r.lang, np.frombuffer(r.g, np.int32), np.frombuffer(r.c, np.int32)) for r in ordered], idf)
 
 
-def predictions(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, ``lang_pred`` and ``score`` of every row, from the text alone.
+def predictions(
+    df: DataFrame,
+    model: Model,
+    text: str = "text",
+    keep: tuple[str, ...] = ("doc_id",),
+    names_out: tuple[str, str] = ("lang_pred", "score"),
+) -> DataFrame:
+    """``keep`` columns, the predicted language and its probability for every row, from the text alone.
 
     Texts that are null or have no letter, and all texts if nothing was learned,
     get ``und`` with score 0.  Repeated rows each get their row; columns not
@@ -196,4 +204,6 @@ def predictions(df: DataFrame, model: Model, text: str = "text", keep: tuple[str
         )
 
     out = arrow_map(rows, work, ", ".join([*(f"{n} {k}" for n, k in zip(names, kinds)), "lang_pred string", "score double"]), ["x"])
-    return out.select(*(out[n].alias(k) for k, n in zip(keep, names)), "lang_pred", "score")
+    return out.select(
+        *(out[n].alias(k) for k, n in zip(keep, names)), out["lang_pred"].alias(names_out[0]), out["score"].alias(names_out[1])
+    )

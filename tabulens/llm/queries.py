@@ -25,10 +25,11 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{folder}/{name}.parquet").select(*columns)
 
 
-def bpe_digests(rows: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoded rows."""
+def bpe_digests(rows: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoded rows, and ``more`` of their columns."""
     return rows.select(
         "doc_id",
+        *more,
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
@@ -172,3 +173,19 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text", "lang")
     rows = lang_id.predictions(docs, lang_id.fit(docs))
     return rows.select("doc_id", (~lang_id.trained_on(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_html_main_text")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    from . import html_main
+
+    pages = table(spark, folder, "pages", "page_id", "url", "html")
+    rows = html_main.extract(pages, html_main.learned_weights(pages))
+    return rows.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query("op1_lm_score")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    from . import lm_score
+
+    return lm_score.score(table(spark, folder, "documents", "doc_id", "text"))
