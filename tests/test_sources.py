@@ -88,3 +88,27 @@ def test_preview_and_written_results(spark, tmp_path):
     assert len(S.write_results(tables, str(tmp_path / "out2"), fmt="json")) == 2
     with pytest.raises(ValueError):
         S.write_results(tables, str(tmp_path / "out"), ["nope"])
+
+
+def test_no_field_and_no_line_is_lost(spark, tmp_path):
+    for body in ("a,b\n1,2\n3,4,5\n", "a,b\n1,2\n3\n", 'a,b\n1,"x\ny"\n'):
+        with pytest.raises(S.DataLoadError):
+            S.load_table(spark, write(tmp_path, "bad.csv", body))
+    broken = write(tmp_path, "broken.csv", 'a,"b\nc"\n1,"x\ny"\n2,z\n')
+    df = S.load_table(spark, broken, multiline=True)
+    assert df.columns == ["a", "b_c"] and {tuple(r) for r in df.collect()} == {(1, "x\ny"), (2, "z")}
+    with pytest.raises(S.DataLoadError):
+        S.load_table(spark, write(tmp_path, "long.csv", "a,b\n1,2\n3,4,5\n"), multiline=True)
+    same = S.load_table(spark, write(tmp_path, "same.csv", "a,b\nx,y\na,b\n\na,b\n"))
+    assert sorted(map(tuple, same.collect())) == [("a", "b"), ("a", "b"), ("x", "y")]
+
+
+def test_delimiters_inside_quotes_do_not_count():
+    assert S.detect_delimiter('a;b\n"1,2,3";4\n"5,6";7') == ";"
+    assert S.detect_delimiter("a|b|c\n1,5|2|3\n4|5,5|6") == "|"
+
+
+def test_lines_become_a_table(spark):
+    lines = spark.createDataFrame([("Id;Some Name",), ('1;"a;b"',), ("2;NA",)], "value string")
+    df = S.parse_lines(lines)
+    assert df.columns == ["id", "some_name"] and sorted(map(tuple, df.collect()), key=repr) == [(1, "a;b"), (2, None)]
