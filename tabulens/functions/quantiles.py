@@ -355,7 +355,9 @@ def many_group_quantiles(
     for i, (first, last, part) in enumerate(picks):
         wanted = wanted | holds(first) | holds(last)
         low, high = (F.max(F.when(holds(r), F.col("value"))) for r in (first, last))
-        aggs.append((low + (high - low) * F.max(part)).alias(f"q{i}"))
+        share = F.max(part)  # the same formula as for brackets, so both give the same last digits
+        between = F.when(share < 0.5, low + (high - low) * share).otherwise(high - (high - low) * (1 - share))
+        aggs.append(between.alias(f"q{i}"))
     return ranked.where(wanted).groupBy(key).agg(*aggs)
 
 

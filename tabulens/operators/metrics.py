@@ -46,18 +46,21 @@ def classification_metrics(
     by class size.  A rate with nothing to divide by is 0.
     """
     counts = confusion_counts(df, label, prediction, keys)
+    kinds = {df.schema[c].dataType.typeName() for c in (label, prediction)}
+    kind = "string" if "string" in kinds else "double"  # text classes stay text
+    counts = counts.withColumns({c: F.col(c).cast(kind) for c in ("label", "prediction")})
     sides = counts.select(
         *keys,
         F.inline(
             F.array(
                 F.struct(
-                    F.col("label").cast("double").alias("class"),
+                    F.col("label").alias("class"),
                     F.col("n").alias("truth"),
                     F.lit(0).cast("bigint").alias("guess"),
                     F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0).alias("hit"),
                 ),
                 F.struct(
-                    F.col("prediction").cast("double").alias("class"),
+                    F.col("prediction").alias("class"),
                     F.lit(0).cast("bigint").alias("truth"),
                     F.col("n").alias("guess"),
                     F.lit(0).cast("bigint").alias("hit"),
@@ -83,7 +86,7 @@ def classification_metrics(
 
     def positive(c: str) -> Column:
         actual = F.when(F.col("truth") > 0, F.col("class"))
-        return F.coalesce(F.max(F.when(actual == 1, F.col(c))), F.max_by(c, actual))
+        return F.coalesce(F.max(F.when(actual.try_cast("double") == 1, F.col(c))), F.max_by(c, actual))
 
     return per_class.groupBy(*keys).agg(
         seen.alias("n_classes"),

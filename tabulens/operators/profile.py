@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -141,11 +142,12 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     found = exact_quantiles(df, columns, QUARTILES, extra)
     rows = []
     for i, c in enumerate(columns):
-        q1, median, q3 = (found.values[(c, p)] for p in QUARTILES)
+        # like the moments, quartiles are NULL where they are not finite
+        q1, median, q3 = (q if q is not None and math.isfinite(q) else None for q in (found.values[(c, p)] for p in QUARTILES))
         mean, std, low, high, skew, kurt = (
             found.extra[f"{s}{i}"] for s in ("mean", "std", "min", "max", "skew", "kurt")
         )
-        iqr = None if q1 is None else q3 - q1
+        iqr = None if q1 is None or q3 is None else q3 - q1
         rows.append((c, found.counts[c], mean, median, std, low, high, q1, q3, iqr, skew, kurt))
     return small_frame(df.sparkSession, rows, STATS_SCHEMA)
 

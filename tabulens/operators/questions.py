@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
+    AnalysisError,
     as_double,
     as_text,
     nan_to_null,
@@ -281,12 +282,15 @@ class _Answers:
             self.rows.append((*combo, position, key, text, number, error))
 
     def guarded(self, combos, answer) -> None:
-        """A failing answer becomes an error row instead of stopping the others."""
+        """A failing answer becomes an error row; the others of its kind are answered one by one."""
         try:
             done = answer(combos)
         except Exception as failure:  # noqa: BLE001
-            for combo in combos:
-                self.add(combo, error=f"Query execution failed: {failure}")
+            if len(combos) > 1:
+                for combo in combos:
+                    self.guarded([combo], answer)
+            else:
+                self.add(combos[0], error=f"Query execution failed: {failure}")
         else:
             for combo, cells in done:
                 self.add(combo, cells)
@@ -308,6 +312,13 @@ class _Answers:
                 self.guarded(combos, handler)
         return self.rows
 
+    @staticmethod
+    def one(result: DataFrame, column: str):
+        row = result.first()
+        if row is None:
+            raise AnalysisError(f"column {column!r} holds no values")
+        return row
+
     def count(self, combos):
         n = row_count(self.df).first().row_count
         return [(c, [("row_count", None, float(n))]) for c in combos]
@@ -324,7 +335,7 @@ class _Answers:
             if cat is None and num is None and self.texts:
                 cat = self.texts[0]
             if cat and num:
-                top = max_category_sum(self.df, cat, num).first()
+                top = self.one(max_category_sum(self.df, cat, num), cat)
                 cells = [
                     ("category_column", cat, None),
                     ("value_column", num, None),
@@ -332,7 +343,7 @@ class _Answers:
                     ("top_value", None, top.top_value),
                 ]
             elif cat:
-                top = most_frequent(self.df, cat).first()
+                top = self.one(most_frequent(self.df, cat), cat)
                 cells = [
                     ("category_column", cat, None),
                     ("top_category", top.top_category, None),

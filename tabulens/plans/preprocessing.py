@@ -20,13 +20,13 @@ class FittedCleaning:
     Duplicates are removed from the fitted table only.
     """
 
-    datetime_columns: list[str] | None
+    datetime_columns: list[str]
     drop_datetime_originals: bool
     missing_strategy: str
     steps: list = field(default_factory=list)
 
     def apply(self, df: DataFrame) -> DataFrame:
-        df = C.extract_datetime_features(nan_to_null(df), self.datetime_columns, self.drop_datetime_originals)
+        df = C.add_date_parts(nan_to_null(df), self.datetime_columns, self.drop_datetime_originals)
         if self.missing_strategy == "drop":
             df = C.drop_missing(df)
         for step in self.steps:
@@ -43,6 +43,7 @@ def run_preprocessing(
     outlier_method: str | None = "iqr",
     outlier_action: str = "cap",
     encoding_method: str = "label",
+    max_width: int = C.MAX_ONEHOT,
     scaling_method: str = "standard",
     datetime_columns: Sequence[str] | None = None,
     drop_datetime_originals: bool = False,
@@ -55,7 +56,9 @@ def run_preprocessing(
     steps.  Codes from label encoding count as numbers for the scaling step.
     """
     df = nan_to_null(df)
-    fitted = FittedCleaning(datetime_columns, drop_datetime_originals, missing_strategy)
+    # found once, so that the parts are made for other rows too, dates or none
+    dates = C.dated_columns(df, datetime_columns)
+    fitted = FittedCleaning(dates, drop_datetime_originals, missing_strategy)
     log: list[tuple[str, str, float]] = []
 
     def note(step: str, **values: float) -> None:
@@ -63,7 +66,7 @@ def run_preprocessing(
 
     rows_in = df.count()
     note("input", rows=rows_in, columns=len(df.columns))
-    out = C.extract_datetime_features(df, datetime_columns, drop_datetime_originals)
+    out = C.add_date_parts(df, dates, drop_datetime_originals)
     note("datetime_extraction", new_columns=len([c for c in out.columns if c not in df.columns]))
 
     before = out
@@ -93,7 +96,7 @@ def run_preprocessing(
         note("outliers", outlier_rows=flags[0].outlier_rows if flags else 0)
 
     width = len(out.columns)
-    out, encoding = C.encode_categoricals(out, encoding_method, categorical_columns)
+    out, encoding = C.encode_categoricals(out, encoding_method, categorical_columns, max_width=max_width)
     fitted.steps.append(encoding.apply)
     note("encoding", new_columns=len(out.columns) - width)
 

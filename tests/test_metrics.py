@@ -96,3 +96,11 @@ def test_cluster_metrics_by_hand(frame):
         values.append((b - a) / max(a, b))
     assert M.silhouette_frame(df).first().silhouette_sq == pytest.approx(np.mean(values))
     assert M.silhouette_frame(df.where("cluster = 1")).first().silhouette_sq is None
+
+
+def test_text_labels_have_metrics(frame):
+    rows = [("no", "no"), ("no", "yes"), ("yes", "yes"), ("yes", "yes")]
+    r = M.classification_metrics(frame("label string, prediction string", *rows)).first()
+    assert (r.n_classes, r.accuracy, r.recall) == (2, 0.75, 1.0) and r.precision == pytest.approx(2 / 3)
+    numbers = M.classification_metrics(frame("label string, prediction string", ("0", "0"), ("1", "0"), ("1", "1"))).first()
+    assert (numbers.precision, numbers.recall) == (1.0, 0.5)

@@ -24,9 +24,16 @@ QUESTION = """CASE p_partkey % 13
   WHEN 11 THEN 'What is the largest l_extendedprice of ' || p_brand || '?'
   ELSE 'Which thing is the best, ' || p_brand || '?' END"""
 
-PATTERN_CASES = "\n".join(
-    f"  WHEN regexp_matches(question, '{pattern}', 'i') THEN '{intent}'" for intent, pattern in Q.INTENT_PATTERNS
-)
+# Written out here, not taken from the operator, so that a wrong word there shows.
+PATTERN_CASES = r"""
+  WHEN regexp_matches(question, '\b(how many|count|number of|total number|total count|n rows|num rows|row count|record count|size of|how large)\b', 'i') THEN 'COUNT'
+  WHEN regexp_matches(question, '\b(average|avg|mean|typical|median)\b', 'i') THEN 'AVERAGE'
+  WHEN regexp_matches(question, '\b(total|sum|aggregate|cumulative|combined)\b', 'i') THEN 'SUM'
+  WHEN regexp_matches(question, '\b(correlations?|correlate[sd]?|relationship between|related to|strongest relationship|most related|most correlated|strongest correlations?)\b', 'i') THEN 'CORRELATION'
+  WHEN regexp_matches(question, '\b(which|what).{0,40}(highest|most|largest|maximum|top|biggest|best|peak|greatest)\b', 'i') THEN 'MAX_CATEGORY'
+  WHEN regexp_matches(question, '\b(highest|most|largest|maximum|top|biggest|best|peak|greatest).{0,40}(category|group|value|item|entry|class|label)\b', 'i') THEN 'MAX_CATEGORY'
+  WHEN regexp_matches(question, '\b(distribution|spread|breakdown|frequency|histogram|value counts|how is .{1,30} distributed)\b', 'i') THEN 'DISTRIBUTION'
+  WHEN regexp_matches(question, '\b(summarise|summarize|summary|describe|overview|tell me about|what does|about this dataset|what is in)\b', 'i') THEN 'SUMMARY'"""
 
 
 # Means of these never lie halfway between two 6-decimal numbers, which engines may round apart.

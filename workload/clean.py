@@ -197,6 +197,15 @@ def label_encode_many(t: Tables):
     return C.encode_categoricals(t.customer.select("c_custkey", "c_name"))[0]
 
 
+@query(
+    "onehot_sparse",
+    f"""SELECT c_custkey, n.code AS c_name_index, CAST(1 AS DOUBLE) AS c_name_value
+FROM customer JOIN {code_sql('c_name', 'customer')} n ON c_name = n.v""",
+)
+def onehot_sparse(t: Tables):
+    return C.onehot_sparse(t.customer.select("c_custkey", "c_name"))[0]
+
+
 @query(
     "label_mapping",
     f"""WITH {GAPS} SELECT 'event_type' AS "column", v AS value, row_number() OVER (ORDER BY v) - 1 AS code, n

@@ -14,20 +14,25 @@ from tabulens.operators import modelling as L
 from .registry import Tables, query, union
 
 
+def task_sql(column: str, text: bool, override: str | None = None) -> str:
+    """The rules written out: an override, then few rows, then text, then few values."""
+    distinct = f"count(DISTINCT {column})"
+    few = f"{distinct} <= 20 OR {distinct} <= 0.05 * count({column})"
+    task = f"CASE WHEN {override is not None} THEN '{override}' WHEN count(*) < 10 THEN 'clustering' WHEN {text} OR {few} THEN 'classification' ELSE 'regression' END"
+    return f"""SELECT '{column}' AS target, task, n_rows, n_unique, CASE WHEN is_override OR task = 'classification' THEN n_unique END AS n_classes, is_override
+  FROM (SELECT {task} AS task, count(*) AS n_rows, {distinct} AS n_unique, {override is not None} AS is_override FROM lineitem)"""
+
+
 @query(
     "detect_task",
     union(
         [
-            f"""SELECT '{c}' AS target, '{task}' AS task, (SELECT count(*) FROM lineitem) AS n_rows, count(DISTINCT {c}) AS n_unique,
-  {f'count(DISTINCT {c})' if classes else 'CAST(NULL AS BIGINT)'} AS n_classes, {over} AS is_override FROM lineitem"""
-            for c, task, classes, over in [
-                ("l_returnflag", "classification", True, "false"),
-                ("l_quantity", "classification", True, "false"),
-                ("l_extendedprice", "regression", False, "false"),
-                ("l_tax", "regression", True, "true"),
-            ]
+            task_sql("l_returnflag", True),
+            task_sql("l_quantity", False),
+            task_sql("l_extendedprice", False),
+            task_sql("l_tax", False, "regression"),
+            "SELECT NULL, 'clustering', NULL, NULL, NULL, false",
         ]
-        + ["SELECT NULL, 'clustering', NULL, NULL, NULL, false"]
     ),
 )
 def detect_task(t: Tables):
@@ -67,6 +72,28 @@ def split_rows(t: Tables):
     return sides.groupBy("side", "o_orderstatus").agg(F.count("*").alias("n"))
 
 
+@query(
+    "split_rows_repeated",
+    """WITH c AS (SELECT l_returnflag, count(*) AS n, CAST(floor(0.2 * (count(*) - 1)) AS BIGINT) + 1 AS held FROM lineitem GROUP BY 1)
+SELECT 'test' AS side, l_returnflag, held AS n FROM c UNION ALL SELECT 'train', l_returnflag, n - held FROM c""",
+)
+def split_rows_repeated(t: Tables):
+    """Rows that repeat thousands of times."""
+    train, test = L.split_rows(t.lineitem.select("l_returnflag", "l_linestatus", "l_linenumber"), stratify="l_returnflag")
+    sides = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
+    return sides.groupBy("side", "l_returnflag").agg(F.count("*").alias("n"))
+
+
+@query(
+    "fold_rows",
+    """SELECT l_returnflag, CAST(f AS INTEGER) AS fold, (n - f + 4) // 5 AS n
+FROM (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1), range(5) AS r(f)""",
+)
+def fold_rows(t: Tables):
+    rows = L.fold_rows(t.lineitem.select("l_returnflag", "l_linestatus", "l_linenumber"), 5, "l_returnflag")
+    return rows.groupBy("l_returnflag", F.col("__fold").alias("fold")).agg(F.count("*").alias("n"))
+
+
 @query("train_classification")
 def train_classification(t: Tables):
     results = L.train_models(graded_documents(t), "quality", L.CLASSIFICATION, folds=0)
