@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabulens.functions.columns import small_frame
 from tabulens.operators import charts as G
+from tabulens.operators import metrics as M
 from tabulens.operators import modelling as L
 
 from .registry import Tables, query, union
@@ -103,7 +104,7 @@ def train_classification(t: Tables):
 @query("train_classification_many")
 def train_classification_many(t: Tables):
     flags = t.orders.select("o_orderstatus", "o_totalprice", "o_custkey", "o_orderpriority")
-    results = L.train_models(flags, "o_orderstatus", L.CLASSIFICATION, folds=0, models=["Logistic Regression", "Random Forest"])
+    results = L.train_models(flags, "o_orderstatus", L.CLASSIFICATION, folds=0, rounds=20)
     return L.compare_models(results)
 
 
@@ -161,3 +162,81 @@ def model_confusion(t: Tables):
     flags = t.orders.select("o_orderstatus", "o_totalprice", "o_custkey", "o_orderpriority")
     model = L.train_models(flags, "o_orderstatus", L.CLASSIFICATION, folds=0, models=["Logistic Regression"])[0]
     return L.confusion_matrix(model)
+
+
+# Data with a known best answer: what the fitted models say about them has SQL.
+
+HELD = "CAST(floor(0.2 * (n - 1)) AS BIGINT) + 1"
+
+
+@query(
+    "regression_known_line",
+    """SELECT count(*) AS n_rows, count(*) AS n_exact, CAST(1 AS DOUBLE) AS r2, 5 AS folds, CAST(1 AS DOUBLE) AS cv_mean FROM part""",
+)
+def regression_known_line(t: Tables):
+    """A target without noise: every row must be predicted, on the test rows and in each fold."""
+    rows = t.part.selectExpr("p_size", "p_partkey % 97 AS part", "CAST(3 * p_size - 2 * (p_partkey % 97) + 7 AS DOUBLE) AS y")
+    line = L.train_models(rows, "y", L.REGRESSION, models=["Linear Regression"])[0]
+    told = line.model.transform(rows).agg(
+        F.count("*").alias("n_rows"), F.count_if(F.abs(F.col("prediction") - F.col("y")) < 1e-6).alias("n_exact")
+    )
+    r2 = round(L.evaluate_model(line).first().r2, 6)
+    return told.select("*", F.lit(r2).alias("r2"), F.lit(len(line.cv_scores)).alias("folds"), F.lit(round(line.cv_mean, 6)).alias("cv_mean"))
+
+
+SEGMENTS = "CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'BUILDING') THEN 'left' WHEN c_mktsegment = 'FURNITURE' THEN 'middle' ELSE 'right' END"
+
+
+@query(
+    "classifiers_on_separable_classes",
+    f"""WITH c AS (SELECT count(*) AS n FROM customer GROUP BY {SEGMENTS})
+SELECT model_name, (SELECT CAST(sum({HELD}) AS BIGINT) FROM c) AS test_rows, CAST(1 AS DOUBLE) AS accuracy, CAST(1 AS DOUBLE) AS f1, 3 AS folds, CAST(1 AS DOUBLE) AS cv_mean
+FROM (VALUES ('Logistic Regression'), ('Random Forest'), ('Gradient Boosting')) AS m(model_name)""",
+)
+def classifiers_on_separable_classes(t: Tables):
+    """Three classes that one text column decides: all three models, boosting one against the rest, and stratified folds."""
+    rows = t.customer.selectExpr("c_mktsegment", "c_acctbal", f"{SEGMENTS} AS side")
+    results = L.train_models(rows, "side", L.CLASSIFICATION, folds=3, trees=20, rounds=3)
+    told = []
+    for r in results:
+        m = M.classification_metrics(r.model.transform(r.test)).first()
+        told.append((r.model_name, m.rows, round(m.accuracy, 6), round(m.f1_weighted, 6), len(r.cv_scores), round(r.cv_mean, 6)))
+    return small_frame(t.spark, told, "model_name string, test_rows bigint, accuracy double, f1 double, folds int, cv_mean double")
+
+
+@query(
+    "confusion_of_separable_classes",
+    f"""WITH c AS (SELECT {SEGMENTS} AS side, count(*) AS n FROM customer GROUP BY 1)
+SELECT a.side AS label, b.side AS prediction, CASE WHEN a.side = b.side THEN CAST(floor(0.2 * (a.n - 1)) AS BIGINT) + 1 ELSE 0 END AS n FROM c a CROSS JOIN c b""",
+)
+def confusion_of_separable_classes(t: Tables):
+    rows = t.customer.selectExpr("c_mktsegment", "c_nationkey", f"{SEGMENTS} AS side")
+    return L.confusion_matrix(L.train_models(rows, "side", L.CLASSIFICATION, folds=0, models=["Logistic Regression"])[0])
+
+
+@query(
+    "clusters_far_apart",
+    "SELECT CAST(c_nationkey // 5 AS BIGINT) AS district, count(*) AS n, CAST(1 AS BIGINT) AS clusters, CAST(5 AS BIGINT) AS all_clusters FROM customer GROUP BY 1",
+)
+def clusters_far_apart(t: Tables):
+    """Groups far from each other must be the clusters."""
+    rows = t.customer.selectExpr("c_nationkey DIV 5 AS district", "CAST((c_nationkey DIV 5) * 1000 + c_custkey % 7 AS DOUBLE) AS x", "CAST(pow(c_nationkey DIV 5 - 2, 2) * 900 + c_custkey % 5 AS DOUBLE) AS y")
+    found = L.train_models(rows.select("x", "y"), None, L.CLUSTERING, n_clusters=5)[0]
+    told = L.cluster_assignments(found, rows)
+    per = told.groupBy("district").agg(F.count("*").alias("n"), F.count_distinct("cluster").alias("clusters"))
+    return per.crossJoin(F.broadcast(told.agg(F.count_distinct("cluster").alias("all_clusters"))))  # one row
+
+
+@query(
+    "importance_of_the_only_cause",
+    "SELECT * FROM (VALUES ('trees', 'p_size'), ('permutation', 'p_size')) AS v(method, feature)",
+)
+def importance_of_the_only_cause(t: Tables):
+    """A target made from one feature must put that feature first."""
+    rows = t.part.selectExpr("p_size", "p_partkey % 31 AS other", "p_brand", "CAST(10 * p_size AS DOUBLE) AS y")
+    line, forest = L.train_models(rows, "y", L.REGRESSION, folds=0, models=["Linear Regression", "Random Forest Regressor"], trees=20)
+    told = []
+    for method, model in (("trees", forest), ("permutation", line)):
+        first = L.feature_importance(model).orderBy(F.desc("importance")).first()
+        told.append((method, first.feature.removeprefix("num__")))
+    return small_frame(t.spark, told, "method string, feature string")
