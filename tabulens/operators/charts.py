@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +49,9 @@ def histogram_bars(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 def kernel_density(df: DataFrame, column: str, x_col: str | None = None, points: int = 200) -> DataFrame:
     """Gaussian density on evenly spaced points from minimum to maximum, per category if asked.
 
-    The bandwidth is the sample deviation times n^(-1/5).  Every row adds to
-    all points of its group, and the points are summed before the shuffle.
+    The bandwidth is the sample deviation times n^(-1/5).  Equal values are
+    counted first; each then adds one vector of all points to its group, and the
+    vectors are summed before the shuffle.
     """
     schema = "category string, point int, x double, density double"
     if column not in numeric_columns(df) or not has_columns(df, x_col):
@@ -64,16 +67,27 @@ def kernel_density(df: DataFrame, column: str, x_col: str | None = None, points:
         row = rows.agg(*measures).first()
         if not row.width:
             return _empty(df, schema)
-        spread = rows.select("*", *(F.lit(v).alias(n) for n, v in row.asDict().items()))
+        values = rows.groupBy("category", "y").agg(F.count("*").alias("times"))
+        spread = values.select("*", *(F.lit(v).alias(n) for n, v in row.asDict().items()))
     else:
         groups = rows.groupBy("category").agg(*measures).where("width > 0").withColumn("size", F.col("n"))
-        spread = lookup_join(rows, groups, "category", "size")
-    at = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("point") / F.lit(points - 1)
-    z = (at - F.col("y")) / F.col("width")
+        values = rows.groupBy("category", "y").agg(F.count("*").alias("times"))
+        spread = lookup_join(values, groups, "category", "size")
+
+    def place(point):
+        return F.col("lo") + (F.col("hi") - F.col("lo")) * point / F.lit(points - 1)
+
+    def weight(point):
+        z = (place(point) - F.col("y")) / F.col("width")
+        return F.col("times") * F.exp(-z * z / 2)
+
+    at = place(F.col("point"))
+    one = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), weight)
     return (
-        spread.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-        .groupBy("category", "point", "lo", "hi", "n", "width")
-        .agg(F.sum(F.exp(-z * z / 2)).alias("weight"))
+        spread.select("category", "lo", "hi", "n", "width", array_to_vector(one).alias("one"))
+        .groupBy("category")
+        .agg(*(F.first(c).alias(c) for c in ("lo", "hi", "n", "width")), Summarizer.sum(F.col("one")).alias("sums"))
+        .select("category", "lo", "hi", "n", "width", F.posexplode(vector_to_array("sums")).alias("point", "weight"))
         .select(
             "category",
             "point",

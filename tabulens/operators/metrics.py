@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import AnalysisError, as_double, quoted, small_frame
+from ..functions.columns import as_double, quoted, small_frame
 from ..functions.ordered import lookup_join, ordered_totals
 
 
-MAX_CLUSTERS = 10_000
+BLOCK_BYTES = 4 << 20  # of cluster centres compared at once
 
 
 def confusion_counts(
@@ -196,18 +197,11 @@ def regression_metrics(
 
 
 def centroids(df: DataFrame, vector: str = "vector", cluster: str = "cluster") -> DataFrame:
-    """``(cluster, size, centroid)``; summed per dimension before the shuffle."""
-    sums = (
-        df.select(quoted(cluster).alias("cluster"), F.posexplode(quoted(vector)).alias("dim", "x"))
-        .groupBy("cluster", "dim")
-        .agg(F.avg(F.col("x").cast("double")).alias("mean"), F.count("*").alias("size"))
-    )
-    return sums.groupBy("cluster").agg(
-        F.max("size").alias("size"),
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("dim", "mean"))), lambda s: s["mean"]
-        ).alias("centroid"),
-    )
+    """``(cluster, size, centroid)``; whole vectors are summed before the shuffle, none is taken apart."""
+    doubles = F.transform(quoted(vector), lambda x: x.cast("double"))
+    rows = df.where(quoted(vector).isNotNull()).select(quoted(cluster).alias("cluster"), array_to_vector(doubles).alias("v"))
+    sums = rows.groupBy("cluster").agg(Summarizer.metrics("mean", "count").summary(F.col("v")).alias("s"))
+    return sums.select("cluster", F.col("s.count").alias("size"), vector_to_array("s.mean").alias("centroid"))
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -234,25 +228,27 @@ def inertia(df: DataFrame, vector: str = "vector", cluster: str = "cluster") ->
 def davies_bouldin(df: DataFrame, vector: str = "vector", cluster: str = "cluster") -> DataFrame:
     """Mean over clusters of the worst ratio of summed scatter to centre distance.
 
-    The measure compares every cluster with every other one, so their number
-    is checked; the rows themselves are only ever compared with one centre.
+    The measure compares every centre with every other one: in blocks of
+    bounded size, over many tasks.  Rows are only compared with their own centre.
     """
-    if df.select(quoted(cluster)).distinct().limit(MAX_CLUSTERS + 1).count() > MAX_CLUSTERS:
-        raise AnalysisError(f"Davies-Bouldin compares all clusters; more than {MAX_CLUSTERS} are too many.")
     scatter = (
         _with_own_centroid(df, vector, cluster)
         .groupBy("cluster")
         .agg(F.avg(F.sqrt("d2")).alias("s"), F.first("centroid").alias("centroid"))
     )
-    others = scatter.agg(F.collect_list(F.struct("cluster", "s", "centroid")).alias("all"))
+    n, width = scatter.agg(F.count("*"), F.max(F.size("centroid"))).first()
+    blocks = max(1, -(-n * (width or 0) * 8 // BLOCK_BYTES))
+    part = F.pmod(F.xxhash64("cluster"), F.lit(blocks))
+    others = scatter.groupBy(part.alias("block")).agg(F.collect_list(F.struct("cluster", "s", "centroid")).alias("all"))
 
     def ratio(other: Column) -> Column:
         apart = F.sqrt(squared_distance(F.col("centroid"), other["centroid"]))
         return F.coalesce(F.try_divide(F.col("s") + other["s"], apart), F.lit(0.0))
 
-    rivals = F.filter(F.col("all"), lambda o: o["cluster"] != F.col("cluster"))
-    worst = scatter.withColumn("all", others.scalar()).select(F.array_max(F.transform(rivals, ratio)).alias("worst"))
-    return worst.agg(F.avg("worst").alias("davies_bouldin"))
+    rivals = F.filter(F.col("all"), lambda o: o["cluster"] != F.col("own"))
+    asking = scatter.select(F.col("cluster").alias("own"), "s", "centroid", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    met = asking.join(others, "block").select("own", F.array_max(F.transform(rivals, ratio)).alias("worst"))
+    return met.groupBy("own").agg(F.max("worst").alias("worst")).agg(F.avg("worst").alias("davies_bouldin"))
 
 
 def silhouette_sq(df: DataFrame, features: str = "features", cluster: str = "cluster") -> float | None:
