@@ -50,6 +50,8 @@ PLAIN, LINK, BOILER = "word", "word in link", "word in boilerplate"
 #: Counts added before the log-odds are taken, as if seen inside and outside the content.
 PRIOR_WORDS = {PLAIN: (90.0, 10.0), LINK: (10.0, 90.0), BOILER: (1.0, 99.0)}
 PRIOR_TAG = (1.0, 3.0)
+#: No tag weighs more than this, and no word more than half of it, so that a few words outside cannot outweigh tags.
+MOST = 4.0
 
 
 def boilerplate(name: str, attributes: str, inside_content: bool) -> bool:
@@ -151,8 +153,9 @@ def weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     for kind in {k for k, _ in counts} | set(PRIOR_WORDS):
         inside, outside = PRIOR_WORDS.get(kind, PRIOR_TAG)
         score = math.log((counts.get((kind, True), 0) + inside) / (counts.get((kind, False), 0) + outside))
+        score = min(max(score, -MOST), MOST)
         if kind == PLAIN:
-            score = max(score, 0.1)
+            score = min(max(score, 0.1), MOST / 2)
         elif kind == BOILER:
             score = min(score, -0.5)
         elif kind != LINK:
