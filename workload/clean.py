@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulens.operators import clean as C
@@ -164,6 +165,40 @@ def outliers_sql(bounds: str, hit: str) -> str:
   {r(f'count(*) FILTER ({hit}) * 100.0 / count(*)')} AS outlier_pct FROM spikes, bounds GROUP BY lo, hi"""
 
 
+# Two columns of which different rows are flagged.
+TWO = f"""{SPIKES}, two AS (SELECT event_id, value, CASE WHEN event_id % 991 = 0 THEN "user" * 1000 + 1000000 ELSE "user" END AS "user" FROM spikes),
+q AS (SELECT {quartile('value', 0.25)} AS v1, {quartile('value', 0.75)} AS v3, {quartile('"user"', 0.25)} AS u1, {quartile('"user"', 0.75)} AS u3 FROM two),
+bounds AS (SELECT v1 - 1.5 * (v3 - v1) AS vl, v3 + 1.5 * (v3 - v1) AS vh, u1 - 1.5 * (u3 - u1) AS ul, u3 + 1.5 * (u3 - u1) AS uh FROM q)"""
+VALUE_HIT = "coalesce(value < vl OR value > vh, false)"
+USER_HIT = """coalesce("user" < ul OR "user" > uh, false)"""
+
+
+def two_spiked(t: Tables) -> DataFrame:
+    return t.spikes.withColumn("user", F.expr("CASE WHEN event_id % 991 = 0 THEN user * 1000 + 1000000 ELSE user END"))
+
+
+@query("outlier_flag_two", f"WITH {TWO} SELECT two.*, CAST({VALUE_HIT} OR {USER_HIT} AS INTEGER) AS is_outlier FROM two, bounds")
+def outlier_flag_two(t: Tables):
+    return C.handle_outliers(two_spiked(t), "iqr", "flag", ["value", "user"])[0]
+
+
+@query("iqr_drop_two", f"WITH {TWO} SELECT two.* FROM two, bounds WHERE NOT ({VALUE_HIT} OR {USER_HIT})")
+def iqr_drop_two(t: Tables):
+    return C.handle_outliers(two_spiked(t), "iqr", "drop", ["value", "user"])[0]
+
+
+@query(
+    "outlier_summary_two",
+    f"""WITH {TWO}, f AS (SELECT bounds.*, {VALUE_HIT} AS v, {USER_HIT} AS u FROM two, bounds)
+SELECT 'value' AS "column", {r('any_value(vl)')} AS lower, {r('any_value(vh)')} AS upper, count(*) FILTER (v) AS outliers,
+  count(*) FILTER (v OR u) AS outlier_rows, {r('count(*) FILTER (v OR u) * 100.0 / count(*)')} AS outlier_pct FROM f
+UNION ALL SELECT 'user', {r('any_value(ul)')}, {r('any_value(uh)')}, count(*) FILTER (u),
+  count(*) FILTER (v OR u), {r('count(*) FILTER (v OR u) * 100.0 / count(*)')} FROM f""",
+)
+def outlier_summary_two(t: Tables):
+    return rounded(C.handle_outliers(two_spiked(t), "iqr", "cap", ["value", "user"])[1])
+
+
 @query("outlier_summary", outliers_sql(IQR, IQR_HIT))
 def outlier_summary(t: Tables):
     return rounded(C.handle_outliers(t.spikes, "iqr", "cap", ["value"])[1])
