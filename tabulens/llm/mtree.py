@@ -134,27 +134,40 @@ def build(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, most: float) -
     }
 
 
-def search(tree: dict, query: np.ndarray, row: int, to_centers: np.ndarray, norm: float, most: float, k: int, beat: int) -> list:
-    """Best-first search of one subtree: the best (score, id, row) that reach ``beat``, at most k."""
-    bound = highest(to_centers, tree["radii"], norm, most)
-    best: list[tuple[int, int, int]] = []
-    for p in np.argsort(-bound, kind="stable"):
-        if bound[p] < beat:
-            break
+def search(tree: dict, queries: np.ndarray, rows: np.ndarray, most: float, k: int, beat: np.ndarray) -> list[list]:
+    """Best-first search of one subtree for a block of queries: of each, the best (-score, id, row), at most k, that reach ``beat``.
+
+    Pages go by falling bound of the block.  On each page only the queries whose
+    bound reaches their score to beat are looked at, and only the entries that
+    their parent distance does not rule out for all of these.
+    """
+    beat = beat.copy()
+    norm, to_centers = squares(queries), from_queries(queries, tree["centers"], most)
+    bound = highest(to_centers, tree["radii"][None, :], norm[:, None], most)
+    best: list[list[tuple[int, int, int]]] = [[] for _ in queries]
+    for p in np.argsort(-bound.max(axis=0), kind="stable"):
+        asked = np.flatnonzero(bound[:, p] >= beat)
+        if not len(asked):
+            continue
         a, b = tree["starts"][p], tree["starts"][p + 1]
-        able = highest(np.abs(to_centers[p] - tree["parents"][a:b]), 0.0, norm, most) >= beat
-        at = a + np.flatnonzero(able)
+        gap = np.abs(to_centers[asked, p][:, None] - tree["parents"][None, a:b])
+        able = highest(gap, 0.0, norm[asked][:, None], most) >= beat[asked][:, None]
+        at = a + np.flatnonzero(able.any(axis=0))
         if not len(at):
             continue
-        scores = inner(query[None, :], tree["vectors"][at])[0]
-        keep = (scores >= beat) & (tree["rows"][at] != row)
-        at, scores = at[keep], scores[keep]
-        best.extend(zip((-scores).tolist(), tree["ids"][at].tolist(), tree["rows"][at].tolist()))
-        best.sort()
-        del best[k:]
-        if len(best) == k:
-            beat = max(beat, -best[-1][0])
-    return [(-s, i, r) for s, i, r in best]
+        scores = inner(queries[asked], tree["vectors"][at])
+        good = (scores >= beat[asked][:, None]) & (tree["rows"][at][None, :] != rows[asked][:, None])
+        if len(at) > k + 1:  # of one page k entries at most are of use, and ties of the last one; one may be the query itself
+            good &= scores >= np.partition(scores, -(k + 1), axis=1)[:, -(k + 1)][:, None]
+        hit, entry = np.nonzero(good)
+        for j, e, score in zip(hit.tolist(), entry.tolist(), scores[hit, entry].tolist()):
+            best[asked[j]].append((-score, int(tree["ids"][at[e]]), int(tree["rows"][at[e]])))
+        for j in asked[np.unique(hit)].tolist():
+            best[j].sort()
+            del best[j][k:]
+            if len(best[j]) == k:
+                beat[j] = max(beat[j], -best[j][-1][0])
+    return best
 
 
 TREE_SCHEMA = "region int, salt int, ids binary, rows binary, vectors binary, parents binary, centers binary, radii binary, starts binary"
@@ -241,11 +254,9 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, id_column: str = "vec_id",
                 tree, q = tree_of(r, dim), unpacked(r["q"], dim)
                 qrows, qids = np.frombuffer(r["qrows"], np.int64), np.frombuffer(r["qids"], np.int64)
                 beat = np.frombuffer(r["beat"], np.int64) if beats else np.full(len(q), np.iinfo(np.int64).min)
-                distance, norm = from_queries(q, tree["centers"], most), squares(q)
                 out = []
-                for j in range(len(q)):
-                    found = search(tree, q[j], qrows[j], distance[j], norm[j], most, k, int(beat[j]))
-                    out.extend((qrows[j], qids[j], row, None if i == NO_ID else i, score) for score, i, row in found)
+                for j, best in enumerate(search(tree, q, qrows, most, k, beat)):
+                    out.extend((qrows[j], qids[j], row, None if i == NO_ID else i, -score) for score, i, row in best)
                 columns = list(zip(*out)) or [()] * 5
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int64()) for c in columns], ["qrow", "query_id", "row", "vec_id", "score"]
