@@ -106,7 +106,10 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int) -
                 made.append(serialized(ids[:SAMPLE_IDS], width))
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["s"])
 
-    chosen = docs.select("x", F.xxhash64("id", "x").alias("h")).orderBy("h").limit(SAMPLE_DOCS).select("x")
+    # hashes are spread evenly: few rows beyond the sample pass the bound, so few reach the task that orders them
+    share = F.col("h") / float(1 << 64) + 0.5
+    few = docs.select("x", F.xxhash64("id", "x").alias("h")).where(share <= (2 * SAMPLE_DOCS + 64) / max(docs.count(), 1))
+    chosen = few.orderBy("h").limit(SAMPLE_DOCS).select("x")
     samples = [bytes(r.s) for r in chosen.mapInArrow(starts, "s binary").collect()]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
