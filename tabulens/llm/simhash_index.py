@@ -16,6 +16,8 @@ groups are the connected components of the stars.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -126,13 +128,14 @@ def groups(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Data
     return rows.join(named, "fp").select("id", "content", "fp", "root", "component_id")
 
 
-def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", grouping: Callable[..., DataFrame] = groups) -> DataFrame:
     """The rows of ``df``, all columns, of which one of each group stays: that of the smallest id.
 
+    ``grouping`` gives ``id``, ``content`` and ``root`` of every row.
     A null id comes after all others; equal ids are told apart by their text,
     and of rows that repeat one of them stays.
     """
-    rows = written(groups(df, id_column, text).select("id", "content", "root"), "groups")
+    rows = written(grouping(df, id_column, text).select("id", "content", "root"), "groups")
     chosen = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "content")).alias("r"))
     chosen = chosen.select(F.col("r.id").alias("__id"), F.col("r.content").alias("__content"))
     chosen = written(chosen, "chosen")

@@ -3,6 +3,7 @@
 import random
 import re
 
+import corpus_pipeline
 import pytest
 import xxhash
 from tabulens.llm import decontam, simhash_index
@@ -137,3 +138,38 @@ def test_groups_of_an_empty_table(spark):
 def test_long_chains_become_one_component(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(200)], "u long, v long")
     assert {(r.u, r.v) for r in simhash_index.connected(edges).collect()} == {(i, 0) for i in range(1, 201)}
+
+
+def brute_similar_groups(rows):
+    """Components of rows whose sets of 5-word shingles have a Jaccard similarity of at least 0.8."""
+    sets = []
+    for _, text in rows:
+        w = lower(text).split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if root[i] != root[j] and (sets[i] == sets[j] or 5 * common >= 4 * len(sets[i] | sets[j])):
+                root = [root[j] if r == root[i] else r for r in root]
+    return root
+
+
+def test_word_edited_copies_are_found_by_exact_similarity(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(0, None), (1, " "), (2, "one"), (3, "ONE"), (4, "one two")]
+    for g in range(15):
+        base = [rng.choice(words) for _ in range(rng.choice([60, 150, 500]))]
+        for c in range(8):
+            text = list(base)
+            for _ in range(rng.randrange(1 + len(base) // 40)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            rows.append((100 + g * 20 + c, " ".join(text)))
+    rng.shuffle(rows)
+    root = brute_similar_groups(rows)
+    want = sorted(min(d for d, _ in (rows[j] for j in range(len(rows)) if root[j] == r)) for r in set(root))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == want
+    assert len(want) < simhash_index.keep_one(df).count() - 20
+    assert corpus_pipeline.near_dedup(spark, df.limit(0), "").collect() == []
