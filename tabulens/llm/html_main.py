@@ -3,7 +3,8 @@
 A page is a sequence of tags and words.  Every kind of item has a weight, the
 log-odds of lying inside the content of a labelled page (one whose markup has
 exactly one article or main element) rather than outside.  Words are told apart
-by where they stand: plain, in a link, or in a container of known boilerplate.
+by where they stand: plain, in a link, in a container of known boilerplate, or in
+one that only a part of its class name or id marks, whose weight is learnt by part.
 One linear scan finds the contiguous region with the highest sum.  The region is
 widened to the article or main element that it lies in, boilerplate containers
 inside it are left out, and the rest is cut into blocks.
@@ -28,7 +29,8 @@ ITEM = re.compile(
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>",
     re.S,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute with its whole value, so that nothing inside a value counts as a name; an unclosed quote goes to the end.
+ATTRIBUTE = re.compile(r"([^\s/=\"'>][^\s/=>]*+)(?:\s*+=\s*+(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*+)))?|\"[^\"]*+\"?|'[^']*+'?", re.S)
 NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
 BLOCKS = frozenset(
@@ -47,6 +49,10 @@ BOILERPLATE_WORDS = frozenset(
 )
 CONTENT = frozenset(["article", "main"])
 PLAIN, LINK, BOILER = "word", "word in link", "word in boilerplate"
+#: Start of the kinds of words in containers that only a part of a class name or id marks; the part follows.
+NAMED = "word in container named "
+#: An element with a boilerplate name that holds this share of the page's text is a wrapper, not boilerplate.
+WRAPPER = 0.75
 #: Counts added before the log-odds are taken, as if seen inside and outside the content.
 PRIOR_WORDS = {PLAIN: (90.0, 10.0), LINK: (10.0, 90.0), BOILER: (1.0, 99.0)}
 PRIOR_TAG = (1.0, 3.0)
@@ -54,49 +60,63 @@ PRIOR_TAG = (1.0, 3.0)
 MOST = 4.0
 
 
-def boilerplate(name: str, attributes: str, inside_content: bool) -> bool:
+def boilerplate(name: str, attributes: str, inside_content: bool) -> str:
+    """The word kind that an element gives its words; empty if it is no boilerplate."""
     if name in BOILERPLATE or name == "header" and not inside_content:
-        return True
+        return BOILER
+    found: dict[str, str] = {}
     for m in ATTRIBUTE.finditer(attributes) if attributes.strip() else ():
-        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-        if key == "role" and value.lower() in BOILERPLATE_ROLES:
-            return True
-        if key in ("class", "id") and name not in ("html", "body"):
-            if any(p.lower() in BOILERPLATE_WORDS for p in NAME_PART.findall(value)):
-                return True
-    return False
-
-
-def items(page: str) -> Iterator[tuple[str, str, bool, int]]:
+        if m[1]:
+            found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true":
+        return BOILER
+    if found.get("role", "").lower() in BOILERPLATE_ROLES:
+        return BOILER
+    if name not in CONTENT and name not in ("html", "body"):
+        for key in ("class", "id"):
+            for part in NAME_PART.findall(found.get(key, "")):
+                if part.lower() in BOILERPLATE_WORDS:
+                    return NAMED + part.lower()
+    return ""
+
+
+def items(page: str, wrappers: frozenset[int] = frozenset(), named: list[tuple[int, int]] | None = None) -> Iterator[tuple[str, str, bool, int]]:
     """(kind, text, block, element) of every tag and text run, in order.
 
-    ``kind`` is a tag name or one of the three word kinds; ``block`` says whether
+    Elements that start at a place in ``wrappers`` are no boilerplate by name;
+    ``named`` takes the start and the characters of text of those that are.
+    ``kind`` is a tag name or a word kind; ``block`` says whether
     a tag ends a block; ``element`` is the number of the innermost article or
     main element, or -1.
     """
-    # open elements: name, boilerplate, and the number and name of the content element around them
-    stack: list[tuple[str, bool, int, str]] = []
-    hidden = links = opened = 0
+    # open elements: name, boilerplate kind, number and name of the content element around them, start, characters before
+    stack: list[tuple[str, str, int, str, int, int]] = []
+    hidden: list[str] = []
+    links = opened = seen = 0
     element, around = -1, ""
     at, n = 0, len(page)
 
     def leave(depth: int) -> None:
-        nonlocal hidden, links, element, around
+        nonlocal links, element, around
         while len(stack) > depth:
-            name, bad, element, around = stack.pop()
-            hidden -= bad
+            name, bad, element, around, start, before = stack.pop()
+            if bad:
+                hidden.pop()
+                if named is not None and bad != BOILER:
+                    named.append((start, seen - before))
             links -= name == "a"
 
     def run(text: str) -> tuple[str, str, bool, int]:
-        return (BOILER if hidden else LINK if links else PLAIN, text, False, element)
+        nonlocal seen
+        seen += len(text.strip())
+        kind = (BOILER if BOILER in hidden else hidden[-1]) if hidden else LINK if links else PLAIN
+        return (kind, text, False, element)
 
     while at < n:
         m = ITEM.search(page, at)
         if m is None:
             yield run(page[at:])
-            return
+            break
         if m.start() > at:
             yield run(page[at : m.start()])
         at = m.end()
@@ -125,20 +145,33 @@ def items(page: str) -> Iterator[tuple[str, str, bool, int]]:
         if name == "li" and stack and stack[-1][0] == "li":
             leave(len(stack) - 1)
         bad = boilerplate(name, m["attributes"] or "", element >= 0)
+        if bad and bad != BOILER and m.start() in wrappers:
+            bad = ""
         if name in VOID or (m["attributes"] or "").rstrip().endswith("/") and name not in BLOCKS:
             yield (name, "", block, element)
             continue
-        stack.append((name, bad, element, around))
-        hidden += bad
+        stack.append((name, bad, element, around, m.start(), seen))
+        if bad:
+            hidden.append(bad)
         links += name == "a"
         if name in CONTENT and not hidden and (element < 0 or around == "main"):
             element, around, opened = opened, name, opened + 1
         yield (name, "", block, element)
+    leave(0)
+
+
+def sequence(page: str) -> list[tuple[str, str, bool, int]]:
+    """The items of a page, where wrappers of most of its text are no boilerplate by name."""
+    named: list[tuple[int, int]] = []
+    seq = list(items(page, named=named))
+    total = sum(len(text.strip()) for _, text, _, _ in seq)
+    wrappers = frozenset(start for start, n in named if n and n >= WRAPPER * total)
+    return list(items(page, wrappers)) if wrappers else seq
 
 
 def label_counts(page: str) -> Counter:
     """(kind, inside the content) to how often, for a labelled page; nothing for others."""
-    seq = list(items(page))
+    seq = sequence(page)
     if {e for _, _, _, e in seq} - {-1} != {0}:
         return Counter()
     out: Counter = Counter()
@@ -151,13 +184,15 @@ def weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     """Log-odds by kind; words in boilerplate never score, and tags never do more than a little."""
     out = {}
     for kind in {k for k, _ in counts} | set(PRIOR_WORDS):
-        inside, outside = PRIOR_WORDS.get(kind, PRIOR_TAG)
+        inside, outside = PRIOR_WORDS.get(BOILER if kind.startswith(NAMED) else kind, PRIOR_TAG)
         score = math.log((counts.get((kind, True), 0) + inside) / (counts.get((kind, False), 0) + outside))
         score = min(max(score, -MOST), MOST)
         if kind == PLAIN:
             score = min(max(score, 0.1), MOST / 2)
         elif kind == BOILER:
             score = min(score, -0.5)
+        elif kind.startswith(NAMED):
+            score = min(score, 0.0)
         elif kind != LINK:
             score = min(score, 0.0) - 0.1
         out[kind] = score
@@ -169,7 +204,7 @@ def region(seq: list[tuple[str, str, bool, int]], weight: dict[str, float]) -> t
     unknown = min(0.0, math.log(PRIOR_TAG[0] / PRIOR_TAG[1])) - 0.1
     best, first, end, total, start = 0.0, 0, 0, 0.0, 0
     for i, (kind, text, _, _) in enumerate(seq):
-        total += weight[kind] * len(text.split()) if kind.startswith("word") else weight.get(kind, unknown)
+        total += (weight[kind] if kind in weight else weight[BOILER]) * len(text.split()) if kind.startswith("word") else weight.get(kind, unknown)
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
@@ -179,7 +214,7 @@ def region(seq: list[tuple[str, str, bool, int]], weight: dict[str, float]) -> t
 
 def main_text(page: str | None, weight: dict[str, float]) -> str:
     """Blocks of the main text, joined by two line breaks; empty if the page has no text that scores."""
-    seq = list(items(page or ""))
+    seq = sequence(page or "")
     first, end = region(seq, weight)
     if first == end:
         return ""

@@ -153,3 +153,26 @@ def test_top_k_of_few_and_of_no_rows(spark):
     assert [tuple(r) for r in mtree.top_k(df).collect()] == [(50, 1, 7, 256 * 128)]
     assert mtree.top_k(df.limit(0)).collect() == []
     assert mtree.top_k(df.limit(1)).collect() == []
+
+
+STORY = "<p>" + "Words of the story go on and on. " * 5 + "</p>"
+STORY_TEXT = ("Words of the story go on and on. " * 5).strip()
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><article><div style=\"overflow:hidden\" title='A hidden garden' data-id=\"ad-1\">{STORY}</div><p>And here the story ends.</p></article></body>",
+        f'<body><div>Other words</div><article class="post category-social">{STORY}<p>And here the story ends.</p></article></body>',
+        f'<body><div>Other words</div><main class="has-sidebar">{STORY}<p>And here the story ends.</p></main></body>',
+        f'<body><div class="page has-sidebar">{STORY}<p>And here the story ends.</p><div class="sidebar">one two</div></div></body>',
+    ],
+)
+def test_names_inside_values_and_on_wrappers_are_no_boilerplate(page):
+    assert html_main.main_text(page, html_main.weights({})) == STORY_TEXT + "\n\nAnd here the story ends."
+
+
+def test_boilerplate_by_attributes():
+    bad = lambda a: html_main.boilerplate("div", a, True)
+    assert bad(" hidden") and bad(' a="b"hidden') and bad("class='x side Nav'") and bad(" id=cookie-bar ") and bad(' ARIA-HIDDEN = "true"')
+    assert not (bad(' alt="x hidden y"') or bad(" data-class=ad") or bad(' x="class=\'ad\'"') or bad(' aria-hidden="false"'))
