@@ -53,6 +53,15 @@ def test_base_scores_and_counts_equal_brute_force(spark, docs, monkeypatch):
     assert all(r.score < 0 for r in got)
 
 
+def test_an_end_rarer_than_the_head_counts(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "HEAD", 2)
+    learns = [i for i in range(20) if zlib.crc32(str(i).encode()) % 7 != 2][:2]
+    df = spark.createDataFrame([(i, "a b a b c") for i in learns], "doc_id long, text string")
+    for r in lm_score.score(df).collect():  # a and b 4 times each, c and the end 2 times
+        want = 4 * math.log10(5 / 17) + 2 * math.log10(3 / 17)
+        assert (r.n_tokens, r.n_known, round(r.base_score, 6)) == (6, 6, round(want, 6))
+
+
 def test_probabilities_are_normalised():
     counts = np.random.default_rng(0).integers(0, 50, (lm_score.CLASSES,) * 3)
     table = lm_score.log_bilinear(counts)
