@@ -87,7 +87,19 @@ def encoder(path: str) -> ByteEncoder:
     return ByteEncoder(path)
 
 
+def width_for(tokenizer: str, end_id: int) -> int:
+    """The bytes that hold every id of a tokenizer file, and the end id."""
+    import json
+
+    with open(tokenizer, encoding="utf-8") as file:
+        spec = json.load(file)
+    ids = [*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"]), end_id]
+    return 2 if max(ids) < 1 << 16 else 4
+
+
 def serialized(ids: np.ndarray, width: int) -> bytes:
+    if len(ids) and int(ids.max()) >= 1 << 8 * width:
+        raise ValueError(f"Id {int(ids.max())} does not fit {width} bytes.")
     return ids.astype("<u2" if width == 2 else "<u4").tobytes()
 
 
@@ -124,14 +136,17 @@ PACK_SCHEMA = (
 
 
 def write_packs(
-    df: DataFrame, path: str, tokenizer: str, end_id: int, id_column: str = "doc_id", text: str = "text", width: int = 2
+    df: DataFrame, path: str, tokenizer: str, end_id: int, id_column: str = "doc_id", text: str = "text", width: int | None = None
 ) -> None:
     """Encode every text, append ``end_id``, and write packs in ascending id order below ``path``.
 
     Null ids come first; equal ids are ordered by a hash of their text.  A null
     or empty text has the end id alone.  An empty table gives no packs.
+    Without ``width`` it follows the tokenizer's largest id; an id that does not
+    fit a given one raises.
     """
     spark = df.sparkSession
+    width = width or width_for(tokenizer, end_id)
     docs = df.select(df[id_column].cast("bigint").alias("id"), df[text].alias("x"))
     dictionary = train_dictionary(docs, tokenizer, end_id, width)
     dict_hash = hashlib.sha256(dictionary).hexdigest()

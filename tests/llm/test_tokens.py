@@ -97,3 +97,14 @@ def test_id_store_of_an_empty_table_and_of_repeated_rows(spark, tmp_path):
     id_store.write_packs(twice, str(tmp_path / "twice"), BYTES, end_id=0)
     got = sorted((r.doc_id, r.start, r.n_tokens) for r in id_store.read_packs(spark, str(tmp_path / "twice")).collect())
     assert got == [(0, 0, 1), (1, 1, 3), (1, 4, 3)]
+
+
+def test_ids_never_wrap(spark, tmp_path):
+    df = spark.createDataFrame([(1, "two words")], "doc_id long, text string")
+    path = str(tmp_path / "large")
+    id_store.write_packs(df, path, BYTES, end_id=70_000)
+    (r,) = id_store.read_packs(spark, path).collect()
+    assert np.frombuffer(r.data, "<u4")[-1] == 70_000
+    assert id_store.width_for(BYTES, 0) == 2
+    with pytest.raises(ValueError):
+        id_store.serialized(np.array([65_536], np.uint32), 2)
