@@ -9,10 +9,12 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of input that a Python task turns into one output batch.
 CHUNK_BYTES = 4 << 20
-#: A table is broadcast only after its rows were counted against this bound.
+#: A table is broadcast only after its bytes were added up against this bound, and its rows against the other one.
+BROADCAST_BYTES = 32 << 20
 BROADCAST_ROWS = 500_000
 
 
@@ -35,10 +37,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """What a row takes in a broadcast table: texts, binaries and arrays by their length."""
+
+    def width(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+        if isinstance(kind, T.ArrayType):
+            if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+                each = F.transform(c, lambda x: width(x, kind.elementType))
+                return F.coalesce(F.aggregate(each, F.lit(0), lambda a, b: a + b), F.lit(0)) + 16
+            return F.coalesce(F.size(c), F.lit(0)) * 8 + 16
+        if isinstance(kind, T.StructType):
+            return sum((width(c[f.name], f.dataType) for f in kind), F.lit(8))
+        return F.lit(8)
+
+    return sum((width(df[f"`{f.name}`"], f.dataType) for f in df.schema), F.lit(24)).cast("bigint")
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` marked for broadcast if it has at most BROADCAST_ROWS rows (all of fixed width), else as it is."""
-    n = df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+    """``df`` marked for broadcast if its rows and their bytes, added up first, stay within the bounds; else as it is.
+
+    ``rows`` is given where the rows are known and of fixed width.
+    """
+    if rows is not None:
+        return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def ascii_lower(text: Column) -> Column:

@@ -189,3 +189,71 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     from . import lm_score
 
     return lm_score.score(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import token_align
+
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    rows = token_align.alignments(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return rows.withColumnRenamed("id", "doc_id")
+
+
+@query(
+    "op12_term_pipeline",
+    r"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+size AS (SELECT CAST(count(*) FILTER (len(w) > 0) AS BIGINT) AS n, CAST(coalesce(sum(len(w)), 0) AS BIGINT) AS l FROM d),
+q AS (SELECT item_id, term, CAST(count(*) AS BIGINT) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY 1, 2),
+tf AS (SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+wt AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, size GROUP BY 1),
+gain AS (SELECT tf.r, tf.term, wt.w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(d.w) * n) // l))) AS g FROM tf JOIN d ON d.r = tf.r JOIN wt ON wt.term = tf.term, size),
+s AS (SELECT item_id, r, CAST(sum(times * g) AS BIGINT) AS score FROM q JOIN gain ON q.term = gain.term GROUP BY 1, 2)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s JOIN d ON d.r = s.r WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20""",
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from . import term_pipeline
+
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return term_pipeline.search(docs, table(spark, folder, "benchmark", "item_id", "text"))
+
+
+#: The rules that op13 applies to the pages: verdict, host, path.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+@query(
+    "op13_redirect_rules",
+    r"""WITH RECURSIVE located AS (SELECT page_id, coalesce(url, '') AS url, html, strpos(coalesce(url, ''), '://') AS p FROM pages),
+parts AS (SELECT page_id, url, html, CASE WHEN p > 0 THEN translate(regexp_extract(substr(url, p + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+  CASE WHEN p > 0 THEN regexp_extract(substr(url, p + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
+  CASE WHEN p > 0 THEN lower(substr(url, 1, p + 2)) END AS scheme, CASE WHEN p > 0 THEN regexp_extract(substr(url, p + 3), '^[^/?#]*([^#]*)', 1) END AS tail FROM located),
+keyed AS (SELECT *, scheme || host || CASE WHEN starts_with(tail, '/') THEN tail ELSE '/' || tail END AS page FROM parts),
+rules AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) AS t(verdict, rhost, rpath)),
+tags AS (SELECT page, scheme, host, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM keyed WHERE page IS NOT NULL),
+hrefs AS (SELECT page, scheme, host, CASE WHEN regexp_matches(tag, '(?i)rel\s*=\s*["'']?canonical') THEN regexp_extract(tag, '(?i)href\s*=\s*["'']?([^"''\s>]+)', 1)
+  WHEN regexp_matches(tag, '(?i)http-equiv\s*=\s*["'']?refresh') THEN regexp_extract(tag, '(?i)url\s*=\s*["'']?([^"''\s>]+)', 1) END AS href FROM tags),
+edges AS (SELECT DISTINCT page AS a, regexp_replace(CASE WHEN starts_with(href, '/') THEN scheme || host || href ELSE href END, '#.*$', '') AS b FROM hrefs WHERE href <> ''),
+ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach AS (SELECT a, b FROM ways UNION SELECT r.a, e.b FROM reach r JOIN ways e ON r.b = e.a),
+linked AS (SELECT DISTINCT a AS page, regexp_extract(a, '://([^/?#]*)', 1) AS host, regexp_extract(a, '://[^/?#]*([^?#]*)', 1) AS path FROM ways),
+own AS (SELECT page, arg_max(verdict, len(rhost || rpath)) AS verdict FROM linked JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page),
+spread AS (SELECT r.a AS page, min(o.verdict) AS verdict FROM reach r JOIN own o ON r.b = o.page GROUP BY 1),
+ruled AS (SELECT page_id, host, path, page, arg_max(rhost || rpath, len(rhost || rpath)) AS rule, arg_max(verdict, len(rhost || rpath)) AS verdict
+  FROM keyed LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY ALL)
+SELECT page_id, host, path, rule, coalesce(ruled.verdict, spread.verdict, 'allow') AS verdict FROM ruled LEFT JOIN spread ON ruled.page = spread.page""",
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    from . import url_rules
+
+    pages = table(spark, folder, "pages", "page_id", "url", "html")
+    return url_rules.verdicts(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
