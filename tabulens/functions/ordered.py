@@ -68,7 +68,7 @@ def ordered_totals(
     )
 
 
-def _row_bytes(df: DataFrame) -> Column:
+def row_bytes(df: DataFrame) -> Column:
     """What a row takes in a broadcast table, text and arrays by their actual length."""
     total = F.lit(ROW_OVERHEAD)
     for f in df.schema:
@@ -92,7 +92,7 @@ def lookup_join(
     adding up its bytes.  Otherwise only the hot keys (at most ``HOT_SHARE``) are
     broadcast, and the remaining rows, which have no hot key, are shuffled.
     """
-    size, total = table.agg(F.sum(_row_bytes(table)), F.sum(weight)).first()
+    size, total = table.agg(F.sum(row_bytes(table)), F.sum(weight)).first()
     if (size or 0) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(table.drop(weight)), key, how)
     table = stable(table)

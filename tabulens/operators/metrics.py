@@ -119,22 +119,28 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", positive:
     return ranked.agg(F.try_divide(wins, pairs).alias("roc_auc"))
 
 
-def multiclass_roc_auc(df: DataFrame, label: str, scores: str, classes: Sequence[float]) -> DataFrame:
+def multiclass_roc_auc(df: DataFrame, label: str, scores: str, classes: Sequence[float] | None = None) -> DataFrame:
     """One class against the rest, averaged with the class sizes as weights.
 
-    ``scores`` is an array column with one score per entry of ``classes``.
+    ``scores`` is an array column with one score per entry of ``classes``; without
+    these the labels are the places in the array.
     """
-    entries = F.array(
-        *(
-            F.struct(
-                F.lit(i).alias("slot"),
-                F.get(quoted(scores), F.lit(i)).alias("s"),
-                (as_double(label) == float(c)).alias("is_class"),
+    if classes is None:
+        each = df.select(as_double(label).alias("label"), F.posexplode(quoted(scores)).alias("slot", "s"))
+        each = each.select("slot", "s", (F.col("label") == F.col("slot")).alias("is_class"))
+    else:
+        entries = F.array(
+            *(
+                F.struct(
+                    F.lit(i).alias("slot"),
+                    F.get(quoted(scores), F.lit(i)).alias("s"),
+                    (as_double(label) == float(c)).alias("is_class"),
+                )
+                for i, c in enumerate(classes)
             )
-            for i, c in enumerate(classes)
         )
-    )
-    counts = score_counts(df.select(F.inline(entries)), F.col("is_class"), F.col("s"), F.col("slot"))
+        each = df.select(F.inline(entries))
+    counts = score_counts(each, F.col("is_class"), F.col("s"), F.col("slot"))
     ranked = ordered_totals(counts, ["slot", "score"], ["pos", "neg"], within=["slot"])
     per_class = ranked.groupBy("slot").agg(
         F.try_divide(
