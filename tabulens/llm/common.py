@@ -92,12 +92,13 @@ def arrow_map(
     work: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]],
     schema: str,
     text_columns: Sequence[str],
+    most: int = CHUNK_BYTES,
 ) -> DataFrame:
     """``mapInArrow`` over slices of bounded size; ``work`` gives one batch or several for each slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, text_columns):
+            for piece in pieces(batch, text_columns, most):
                 made = work(piece)
                 if isinstance(made, pa.RecordBatch):
                     yield made

@@ -31,8 +31,10 @@ from ..functions.ordered import lookup_join
 from .common import arrow_map, written
 from .id_store import LONG_RUN, PLAIN, ByteEncoder
 
+#: Bytes of text that are aligned at a time (a longer text alone): tokens take about a hundred times as much while they are.
+PIECE_BYTES = 1 << 20
 #: Chunks whose tokens a worker keeps; the store starts anew when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 CUT = re.compile(r"(?<=\S)(?= )")
 SPACE = "▁"
 #: An id pair is one number: the id of A times this, plus the id of B.
@@ -245,7 +247,7 @@ def aligned(df: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id",
 
     kind = df.schema[id_column].dataType.simpleString()
     schema = f"id {kind}, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string, pairs array<bigint>"
-    return arrow_map(rows, work, schema, ["x"])
+    return arrow_map(rows, work, schema, ["x"], PIECE_BYTES)
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
