@@ -448,7 +448,7 @@ def upper_levels(rows: DataFrame, stats_of: Stats, trees: int, width: int, n: in
         held = held.groupBy("tree", "node", "code").agg(*(F.sum(s).alias(s) for s in (*stat_names, "n_rows")))
         salts = [{x: top.salts[x] for x in wide[t]} for t, top in enumerate(tops)]
 
-        def choose(table: pa.Table, salts=salts) -> pa.Table:
+        def choose(table: pa.Table) -> pa.Table:
             table = table.sort_by("code")
             t, x = table["tree"][0].as_py(), table["node"][0].as_py()
             sums = np.column_stack([table[s].to_numpy() for s in stat_names])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from tabulens.functions.columns import small_frame
 from tabulens.operators import charts as G
 from tabulens.operators import metrics as M
 from tabulens.operators import modelling as L
+from tabulens.operators.trees import Boosting, Forest
 
 from .registry import Tables, query, union
 
@@ -240,3 +242,105 @@ def importance_of_the_only_cause(t: Tables):
         first = L.feature_importance(model).orderBy(F.desc("importance")).first()
         told.append((method, first.feature.removeprefix("num__")))
     return small_frame(t.spark, told, "method string, feature string")
+
+
+# Trees against SQL on the same bins.
+
+
+def raw_inputs(rows: DataFrame, columns: list[str], label: str, key: str) -> DataFrame:
+    vector = array_to_vector(F.array(*(F.col(c).cast("double") for c in columns)))
+    return rows.select(vector.alias("features"), F.col(label).cast("double").alias("label"), F.xxhash64(key).alias("key"))
+
+
+SPLIT_INPUTS = ["l_quantity", "l_discount", "l_linenumber"]
+
+
+def split_sql(node: str, rows: str) -> str:
+    """The best first split of some rows by second-order gain with a smoothing of 1."""
+    return f"""{node}_s AS (SELECT sum(g) AS g, count(*) AS h FROM {rows}),
+{node}_p AS (SELECT f, v, sum(sum(g)) OVER w AS g, sum(count(*)) OVER w AS h
+  FROM (SELECT unnest(['l_quantity', 'l_discount', 'l_linenumber']) AS f, unnest([CAST(l_quantity AS DOUBLE), CAST(l_discount AS DOUBLE), CAST(l_linenumber AS DOUBLE)]) AS v, g FROM {rows})
+  GROUP BY f, v WINDOW w AS (PARTITION BY f ORDER BY v)),
+{node} AS (SELECT f, v, p.g * p.g / (p.h + 1) + (s.g - p.g) * (s.g - p.g) / (s.h - p.h + 1) - s.g * s.g / (s.h + 1) AS gain, p.h AS n_left, s.h - p.h AS n_right
+  FROM {node}_p p, {node}_s s WHERE p.h < s.h ORDER BY gain DESC LIMIT 1)"""
+
+
+def side_sql(name: str, rows: str, node: str, sign: str) -> str:
+    value = f"CASE {node}.f WHEN 'l_quantity' THEN CAST(l_quantity AS DOUBLE) WHEN 'l_discount' THEN CAST(l_discount AS DOUBLE) ELSE CAST(l_linenumber AS DOUBLE) END"
+    return f"{name} AS (SELECT {rows}.* FROM {rows}, {node} WHERE {value} {sign} {node}.v)"
+
+
+@query(
+    "boosted_splits",
+    f"""WITH r AS (SELECT l_quantity, l_discount, l_linenumber, (SELECT avg(CAST(l_extendedprice AS DOUBLE)) FROM lineitem) - CAST(l_extendedprice AS DOUBLE) AS g FROM lineitem),
+{split_sql('root', 'r')}, {side_sql('low', 'r', 'root', '<=')}, {side_sql('high', 'r', 'root', '>')}, {split_sql('l', 'low')}, {split_sql('h', 'high')}
+"""
+    + union(
+        [
+            f"SELECT '{label}' AS node, f AS feature, round(v, 6) + 0.0 AS upto, round(gain / 1e9, 3) + 0.0 AS gain, CAST(n_left AS BIGINT) AS n_left, CAST(n_right AS BIGINT) AS n_right FROM {node}"
+            for label, node in (("root", "root"), ("left", "l"), ("right", "h"))
+        ]
+    ),
+)
+def boosted_splits(t: Tables):
+    """The first boosted tree, two levels deep: its splits, their gains and the rows on both sides."""
+    rows = t.lineitem.withColumn("row", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    model = Boosting(1, None, depth=2).fit(raw_inputs(rows, SPLIT_INPUTS, "l_extendedprice", "row"), 3, 3)
+    tree, told = model.trees[0], []
+    for name, at in (("root", 0), ("left", tree.left[0]), ("right", tree.left[0] + 1)):
+        f = int(model.bins.feature(tree.code[at : at + 1])[0])
+        edge = model.bins.edges[f][tree.code[at] - model.bins.starts[f]]
+        sides = [int(tree.sums[tree.left[at] + i][0]) for i in (0, 1)]
+        told.append((name, SPLIT_INPUTS[f], round(float(edge), 6), round(float(tree.gain[at]) / 1e9, 3), *sides))
+    return small_frame(t.spark, told, "node string, feature string, upto double, gain double, n_left bigint, n_right bigint")
+
+
+@query(
+    "forest_of_full_depth",
+    "SELECT CAST((l_quantity * 7 + l_linenumber * 3) % 5 AS INTEGER) AS label, count(*) AS n_rows, count(*) AS n_right FROM lineitem GROUP BY 1",
+)
+def forest_of_full_depth(t: Tables):
+    """Classes that change with every step of two numbers: only nodes split to the end tell them all."""
+    rows = t.lineitem.selectExpr(
+        "CONCAT_WS('-', l_orderkey, l_linenumber) AS row", "l_quantity", "l_linenumber", "CAST((l_quantity * 7 + l_linenumber * 3) % 5 AS INT) AS k"
+    )
+    told = raw_inputs(rows, ["l_quantity", "l_linenumber"], "k", "row")
+    told = Forest(20, 5, L.SEED).fit(told, 2, 2).transform(told)
+    return told.groupBy(F.col("label").cast("int").alias("label")).agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("prediction") == F.col("label")).alias("n_right")
+    )
+
+
+@query(
+    "category_codes",
+    union(
+        [
+            f"SELECT '{c}' AS \"column\", {c} AS value, CAST(row_number() OVER (ORDER BY {c}) - 1 AS BIGINT) AS code, count(*) AS n FROM customer GROUP BY {c}"
+            for c in ("c_name", "c_mktsegment")
+        ]
+    ),
+)
+def category_codes(t: Tables):
+    """The table of categories that a model's inputs are coded by, one of them with a value of its own in every row."""
+    return L.category_codes(t.customer, ["c_name", "c_mktsegment"])
+
+
+@query(
+    "target_codes",
+    "SELECT p_type AS value, CAST(row_number() OVER (ORDER BY p_type) - 1 AS DOUBLE) AS label, count(*) AS n FROM part GROUP BY 1",
+)
+def target_codes(t: Tables):
+    return L.target_codes(t.part, "p_type")
+
+
+@query(
+    "permuted_values",
+    "SELECT CAST(r AS INTEGER) AS repeat, c_custkey AS bearer, CAST(c_nationkey AS BIGINT) AS nation, CAST(1 AS BIGINT) AS n FROM customer, range(2) AS t(r)",
+)
+def permuted_values(t: Tables):
+    """Permuting the customers' numbers: followed back to their bearers, every one occurs once in each repeat."""
+    rows = t.customer.select("c_custkey", "c_nationkey")
+    turned = L.permuted_rows(rows, ["c_custkey", "c_nationkey"], 2).where("__feature = 'c_custkey'")
+    owners = rows.select(F.col("c_custkey").alias("bearer"), F.col("c_nationkey").cast("bigint").alias("nation"))
+    found = turned.select(F.col("__repeat").alias("repeat"), F.col("c_custkey").alias("bearer")).join(owners, "bearer")
+    return found.groupBy("repeat", "bearer", "nation").agg(F.count("*").alias("n"))
