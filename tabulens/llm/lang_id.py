@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map
@@ -207,3 +207,15 @@ def predictions(
     return out.select(
         *(out[n].alias(k) for k, n in zip(keep, names)), out["lang_pred"].alias(names_out[0]), out["score"].alias(names_out[1])
     )
+
+
+def accepts(spark: SparkSession, model: Model, least: float):
+    """A function of a text column: whether its language is known and at least so probable; only the text goes to Python."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("boolean")
+    def accepted(texts: pa.Array) -> pa.Array:
+        made = (shared.value.predict(x.as_py()) for x in texts)
+        return pa.array([lang != UNKNOWN and score >= least for lang, score in made], pa.bool_())
+
+    return accepted

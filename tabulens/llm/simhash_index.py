@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, small, written
+from .common import arrow_map, small, unused, written
 
 SHINGLE = 3
 SEED = 42
@@ -137,12 +137,12 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", group
     """
     rows = written(grouping(df, id_column, text).select("id", "content", "root"), "groups")
     chosen = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "content")).alias("r"))
-    chosen = chosen.select(F.col("r.id").alias("__id"), F.col("r.content").alias("__content"))
-    chosen = written(chosen, "chosen")
-    marked = df.withColumns({"__c": F.xxhash64(df[text]), "__i": df[id_column]})
-    same = (F.col("__i").eqNullSafe(F.col("__id"))) & (F.col("__c") == F.col("__content"))
-    kept = marked.join(small(chosen), same, "left_semi")
+    one, same = unused(df, "chosen_id"), unused(df, "chosen_content")
+    chosen = written(chosen.select(F.col("r.id").alias(one), F.col("r.content").alias(same)), "chosen")
+    is_chosen = df[id_column].eqNullSafe(chosen[one]) & (F.xxhash64(df[text]) == chosen[same])
+    kept = df.join(small(chosen), is_chosen, "left_semi")
     repeated = rows.groupBy("id", "content").count().where("count > 1").limit(1).count()
     if repeated:
-        kept = kept.dropDuplicates(["__i", "__c"])
-    return kept.drop("__i", "__c")
+        mark = unused(df, "row_content")
+        kept = kept.withColumn(mark, F.xxhash64(df[text])).dropDuplicates([id_column, mark]).drop(mark)
+    return kept

@@ -7,6 +7,7 @@ import corpus_pipeline
 import pytest
 import xxhash
 from tabulens.llm import decontam, simhash_index
+from tabulens.llm import near_copies as near_copies_module
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -173,3 +174,58 @@ def test_word_edited_copies_are_found_by_exact_similarity(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == want
     assert len(want) < simhash_index.keep_one(df).count() - 20
     assert corpus_pipeline.near_dedup(spark, df.limit(0), "").collect() == []
+
+
+def template_pages(n):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(4000)]
+    shared = [rng.choice(words) for _ in range(150)]
+    return [(i, " ".join(shared + [rng.choice(words) for _ in range(46)])) for i in range(n)]
+
+
+def test_pages_of_one_template_meet_in_few_pairs(spark, monkeypatch):
+    """A similarity of 0.6: no links, and the candidates grow with the pages, not with their square."""
+    counted = []
+    real = near_copies_module.verified
+
+    def verified(pairs, sets):
+        counted.append(pairs.count())
+        return real(pairs, sets)
+
+    monkeypatch.setattr(near_copies_module, "verified", verified)
+    pages = template_pages(2000)
+    rows = pages + [(5000, pages[5][1].replace(" ", "  ")), (5001, pages[9][1] + " tail")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash_index.keep_one(df, grouping=near_copies_module.groups)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(2000))
+    assert sum(counted) < 2000 * 100
+
+
+def test_no_pair_is_lost_after_the_stars(spark, monkeypatch):
+    """Without star rounds, the prefixes alone find every pair of the brute force."""
+    monkeypatch.setattr(near_copies_module, "STAR_ROUNDS", 0)
+    rng = random.Random(19)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for g in range(12):
+        base = [rng.choice(words) for _ in range(rng.choice([7, 20, 60, 150]))]
+        for c in range(6):
+            text = list(base)
+            for _ in range(rng.randrange(1 + len(base) // 25)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            rows.append((g * 10 + c, " ".join(text)))
+    root = brute_similar_groups(rows)
+    want = sorted(min(rows[j][0] for j in range(len(rows)) if root[j] == r) for r in set(root))
+    sets = spark.createDataFrame([(i, near_copies_module.shingles(t.encode()).view("int64").tolist()) for i, t in rows], "node long, s array<bigint>")
+    pairs = near_copies_module.prefix_pairs(sets.selectExpr("node", "node AS root"), sets)
+    stars = simhash_index.connected(near_copies_module.verified(pairs, sets))
+    joined = {r.u for r in stars.collect()}
+    assert sorted(i for i, _ in rows if i not in joined) == want
+
+
+def test_internal_names_do_not_clash_with_columns(spark):
+    df = spark.createDataFrame(
+        [(1, "a b c", 5, 6, 7, 8), (2, "a b c", 1, 2, 3, 4)], "doc_id long, text string, __c int, __i int, chosen_id int, chosen_content int"
+    )
+    kept = simhash_index.keep_one(df)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(1, "a b c", 5, 6, 7, 8)]
