@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,9 +14,8 @@ ROW_OVERHEAD = 24
 HOT_SHARE = 1_000
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so a lost executor cannot change it."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share; a temporary one only in local mode without that setting."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,6 +24,12 @@ def stable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
             folder = tempfile.mkdtemp(prefix="tabulens-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder, so a lost executor cannot change it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

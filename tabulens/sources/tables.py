@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import csv
+import io
 import os
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,8 +126,7 @@ CORRUPT = "__unparsed"
 
 def _whole_lines(lines: DataFrame) -> DataFrame:
     """The lines that are not blank; raises if one has an unclosed quote."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
-    bad = lines.where(quotes % 2 == 1).count()
+    bad = lines.where(_quotes(F.col("value")) % 2 == 1).count()
     if bad:
         raise DataLoadError(f"{bad} lines have an unclosed quote; if quoted fields hold line breaks, read with multiline=True.")
     return lines.where(F.trim("value") != "")
@@ -168,26 +169,104 @@ def _complete(parsed: DataFrame) -> DataFrame:
     return parsed.drop(CORRUPT)
 
 
+def _quotes(value: Column) -> Column:
+    return F.length(value) - F.length(F.replace(value, F.lit('"')))
+
+
+RECORD_SCHEMA = "file string, start bigint, place int, ends boolean, first boolean, value string"
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(value, first): the records of delimited files, line breaks inside quotes kept; ``first`` marks each file's first one.
+
+    Files are read in byte ranges by many tasks.  Every range counts its quotes,
+    and a running sum over the ranges of a file says which ranges start inside
+    quotes.  With that known each range cuts its own records; what crosses a
+    border comes as one piece from either side, and the pieces are put together.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
+    )
+    counted = lines.groupBy("file", "start").agg(F.sum(_quotes(F.col("value")).cast("bigint")).alias("quotes"))
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    # a row per byte range, of which the driver plans the tasks anyway
+    ranges = counted.select("file", "start", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)).alias("before"))
+    inside = {(r.file, r.start) for r in ranges.where("before % 2 = 1").select("file", "start").collect()}
+    begins = {(r.file, r.start) for r in ranges.groupBy("file").agg(F.min("start").alias("start")).collect()}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces of records: a place above 0 and ``ends`` are whole; place 0 came from before, the last may go on."""
+        at, open_lines, is_open, place = None, [], False, 0
+        out: list[tuple] = []
+
+        def leave() -> None:
+            if at is not None and open_lines:
+                out.append((*at, place, False, at in begins and place == 1, "\n".join(open_lines)))
+
+        for batch in batches:
+            for value, file, start in zip(*(batch.column(c).to_pylist() for c in ("value", "file", "start"))):
+                if (file, start) != at:
+                    leave()
+                    at, open_lines = (file, start), []
+                    is_open = at in inside
+                    place = 0 if is_open else 1
+                open_lines.append(value)
+                is_open ^= value.count('"') % 2 == 1
+                if not is_open:
+                    out.append((*at, place, True, at in begins and place == 1, "\n".join(open_lines)))
+                    open_lines = []
+                    place += 1
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=kinds)
+            out.clear()
+        leave()
+        yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=kinds)
+
+    kinds = pa.schema(
+        [("file", pa.string()), ("start", pa.int64()), ("place", pa.int32()), ("ends", pa.bool_()), ("first", pa.bool_()), ("value", pa.string())]
+    )
+    names = kinds.names
+    pieces = lines.mapInArrow(cut, RECORD_SCHEMA)
+    whole = pieces.where("place > 0 AND ends").select("value", "first")
+    # at most two pieces a range: one that came from before, one that goes on
+    broken = pieces.where("place = 0 OR NOT ends")
+    order = Window.partitionBy("file").orderBy("start", "place")
+    broken = broken.withColumn("record", F.sum((F.col("place") > 0).cast("int")).over(order))
+    joined = broken.groupBy("file", "record").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "place", "value"))), lambda x: x["value"]), "\n").alias("value"),
+        F.max("first").alias("first"),
+    )
+    return whole.unionByName(joined.select("value", "first")).withColumn("value", F.regexp_replace("value", r"\r\z", ""))
+
+
+def _read_records(spark: SparkSession, path: str, sep: str | None) -> DataFrame:
+    records = read_records(spark, path)
+    heads = records.where("first").groupBy("value").agg(F.count("*").alias("n")).orderBy("value").limit(2).collect()
+    if not heads:
+        raise DataLoadError(f"{path} holds no line.")
+    header = heads[0].value
+    if len(heads) > 1:
+        raise DataLoadError(f"The files of {path} start with different headers, for example {header[:80]!r} and {heads[1].value[:80]!r}.")
+    sample = "\n".join([header, *(r.value for r in records.where("NOT first").limit(100).collect())])[:SAMPLE_BYTES]
+    sep = sep or detect_delimiter(re.sub(r'"[^"]*"', "", sample))
+    names = normalise_names(next(csv.reader(io.StringIO(header.lstrip("\ufeff"), newline=""), delimiter=sep)))
+    schema = ", ".join(f"`{n}` STRING" for n in [*names, CORRUPT])
+    rows = _whole_lines(records.where("NOT first").select("value"))
+    parsed = rows.select(F.from_csv("value", schema, _csv_options(sep)).alias("r")).select("r.*")
+    return infer_types(missing_to_null(_complete(parsed)))
+
+
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, multiline: bool = False) -> DataFrame:
     """A delimited file, or a folder of them, each with a header line.
 
     Only the first lines are looked at for the delimiter and the names.
-    ``multiline`` allows line breaks inside quotes, but makes each file one task.
-    Rows that do not fit the header raise; no field is lost.
+    ``multiline`` allows line breaks inside quotes; large files are still read
+    by many tasks.  Rows that do not fit the header raise; no field is lost.
     """
+    if multiline:
+        return _read_records(spark, path, sep)
     lines = spark.read.text(path)
-    if not multiline:
-        files = lines.select(F.input_file_name().alias("f")).distinct().count()
-        return parse_lines(lines, sep, files)
-    sample = "\n".join(r.value for r in lines.limit(100).collect())[:SAMPLE_BYTES]
-    reader = spark.read.options(**_csv_options(sep or detect_delimiter(sample))).option("multiLine", True)
-    header = reader.csv(path).first()  # by the same parser, so names may hold line breaks too
-    if header is None:
-        raise DataLoadError(f"{path} holds no line.")
-    names = normalise_names([x.lstrip("\ufeff") if i == 0 and x else x for i, x in enumerate(header)])
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
-    parsed = reader.schema(schema).option("header", True).csv(path).persist()  # Spark asks for this to look at bad rows
-    return infer_types(missing_to_null(_complete(parsed)))
+    files = lines.select(F.input_file_name().alias("f")).distinct().count()
+    return parse_lines(lines, sep, files)
 
 
 def load_table(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:

@@ -1,3 +1,6 @@
+import csv
+import random
+
 import pytest
 
 from tabulens.sources import tables as S
@@ -112,3 +115,41 @@ def test_lines_become_a_table(spark):
     lines = spark.createDataFrame([("Id;Some Name",), ('1;"a;b"',), ("2;NA",)], "value string")
     df = S.parse_lines(lines)
     assert df.columns == ["id", "some_name"] and sorted(map(tuple, df.collect()), key=repr) == [(1, "a;b"), (2, None)]
+
+
+def test_one_file_with_quoted_breaks_is_read_by_many_tasks(spark, tmp_path):
+    rng = random.Random(1)
+    texts = ["a\nb", '"q"\n\n"', "plain", "x,y\r\nz", "long\n" * 300, '"', "é\n", " pad "]
+    rows = [(i, rng.choice(texts), i * 0.5) for i in range(400)]
+    folder = tmp_path / "many.csv"
+    folder.mkdir()
+    for name, part, end in (("a.csv", rows[:300], "\n"), ("b.csv", rows[300:], "\r\n")):
+        with open(folder / name, "w", newline="") as file:
+            writer = csv.writer(file, lineterminator=end)
+            writer.writerows([("id", "the\nname", "x"), *part])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        records = S.read_records(spark, str(folder))
+        ranges = spark.read.text(str(folder / "a.csv")).rdd.getNumPartitions()
+        df = S.load_table(spark, str(folder), multiline=True)
+        assert ranges > 20 and records.count() == 402
+        assert df.columns == ["id", "the_name", "x"]
+        assert sorted(tuple(r) for r in df.collect()) == rows
+        with pytest.raises(S.DataLoadError, match="unclosed"):
+            S.load_table(spark, write(tmp_path, "open.csv", 'a,b\n1,"x\n2,y\n' + "3,z\n" * 500), multiline=True)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    one = spark.read.options(header=True, multiLine=True, escape='"').csv(str(folder / "a.csv"))
+    assert one.count() == 300
+
+
+def test_files_with_other_headers_raise(spark, tmp_path):
+    folder = tmp_path / "mixed.csv"
+    folder.mkdir()
+    for name, text in (("a.csv", "a,b\n1,2\n"), ("b.csv", "a,c\n3,4\n")):
+        (folder / name).write_text(text)
+    with pytest.raises(S.DataLoadError, match="headers"):
+        S.load_table(spark, str(folder), multiline=True)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from tabulens.functions.ordered import shared_folder
 from tabulens.operators import profile as P
 from tabulens.plans.report import dataset_summary
+from tabulens.sources.tables import load_table
 
 from .registry import GAPS, MEASURES, Tables, quartile, query, r, rounded, union
 
@@ -319,3 +322,17 @@ def _cell(column: str, measure: str, number: str, text: str, tail: str) -> str:
 )
 def summary(t: Tables):
     return rounded(dataset_summary(t.gaps.drop("event_id")))
+
+
+@query(
+    "csv_quoted_breaks",
+    """SELECT doc_id, n_chars, CAST(length(text) AS INTEGER) AS length, md5(text) AS digest, source
+FROM (SELECT doc_id, n_chars, source, CASE WHEN text NOT IN ('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null') THEN text END AS text FROM documents)""",
+)
+def csv_quoted_breaks(t: Tables):
+    """Texts full of line breaks, written as delimited files and read again by byte ranges."""
+    path = f"{shared_folder(t.spark)}/documents-{uuid.uuid4().hex}.csv"
+    texts = t.documents.select("doc_id", "text", "n_chars", "source")
+    texts.write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    rows = load_table(t.spark, path, multiline=True)
+    return rows.select("doc_id", "n_chars", F.length("text").alias("length"), F.md5("text").alias("digest"), "source")
