@@ -9,8 +9,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import as_double, rows_from_struct
-from .ordered import lookup_join, ordered_totals
+from .columns import as_double, melted, rows_from_struct
+from .ordered import lookup_join, ordered_totals, stable
 
 PAIRS_PER_SCAN = 150
 
@@ -73,35 +73,54 @@ def _pair_correlation(a: str, b: str, means: Mapping[str, float]) -> Column:
     return _clamped(F.try_divide(F.sum(x * y), F.sqrt(F.sum(x * x)) * F.sqrt(F.sum(y * y))))
 
 
-def _rank_pairs(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Spearman for columns without nulls: replace values by average ranks, then Pearson.
-
-    Ranks come from the value counts, so ties share one rank and a value that
-    fills a third of the table is one row until the lookup.
-    """
-    rows = rows.select(*((as_double(c) + 0.0).alias(c) for c in columns))
-    ranked = rows
-    middle = (rows.count() + 1) / 2
-    for c in columns:
-        counts = rows.groupBy(c).agg(F.count("*").alias("n"))
-        ranks = ordered_totals(counts, [c], ["n"]).select(
-            c, "n", (F.col("before_n") + (F.col("n") + 1) / 2).alias("__rank")
-        )
-        ranked = lookup_join(ranked, ranks, c, "n").drop(c).withColumnRenamed("__rank", c)
-    return pearson_pairs(ranked, columns, dict.fromkeys(columns, middle))
-
-
 def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    counts = df.agg(F.count("*").alias("rows"), *(F.count(as_double(c)).alias(f"c{i}") for i, c in enumerate(columns))).first()
-    full = {c for i, c in enumerate(columns) if counts[f"c{i}"] == counts["rows"]}
-    parts = []
-    if len(full) >= 2:
-        parts.append(_rank_pairs(df, [c for c in columns if c in full]))
-    for a, b in combinations(columns, 2):
-        if not (a in full and b in full):
-            both = df.where(as_double(a).isNotNull() & as_double(b).isNotNull())
-            parts.append(_rank_pairs(both, [a, b]))
-    return reduce(DataFrame.unionAll, parts)
+    """``(col_a, col_b, r)`` by average ranks among the rows that have both values.
+
+    The ranks of a column against a partner without nulls are those among all
+    its values; each partner with nulls gives ranks of its own.  All of them
+    come from one ordered pass over the value counts of all columns, where a
+    value counts the rows in which each partner is known.  The rows then look
+    up their values' ranks, all columns at once, and the pairs are sums of
+    products.  So the number of jobs depends on neither columns nor nulls.
+    """
+    values = [as_double(c) + 0.0 for c in columns]
+    counts = df.agg(F.count("*").alias("rows"), *(F.count(v).alias(f"c{i}") for i, v in enumerate(values))).first()
+    gaps = [i for i in range(len(columns)) if counts[f"c{i}"] != counts["rows"]]
+    slot = {b: gaps.index(b) + 1 if b in gaps else 0 for b in range(len(columns))}  # of a column's ranks, those against b
+    known = [F.lit(1), *(values[b].isNotNull().cast("int") for b in gaps)]
+
+    entry = [F.struct(F.lit(i).alias("column"), v.alias("value"), *(k.alias(f"n{s}") for s, k in enumerate(known))) for i, v in enumerate(values)]
+    sizes = [f"n{s}" for s in range(len(known))]
+    per_value = melted(df, entry, "value").groupBy("column", "value").agg(*(F.sum(n).cast("bigint").alias(n) for n in sizes))
+    placed = ordered_totals(per_value, ["column", "value"], sizes, within=["column"])
+    centred = [F.col(f"before_{n}") + (F.col(n) - F.col(f"total_{n}")) / 2 for n in sizes]
+    ranks = placed.select("column", "value", F.array(*centred).alias("ranks"), *sizes)
+    ranks = stable(ranks)
+    spreads = ranks.groupBy("column").agg(
+        *(F.sum(F.col(n) * F.pow(F.get("ranks", F.lit(s)), F.lit(2))).alias(f"s{s}") for s, n in enumerate(sizes))
+    )
+    spread = {(r["column"], s): r[f"s{s}"] for r in spreads.collect() for s in range(len(sizes))}  # a row per column
+
+    rows = df.select(F.monotonically_increasing_id().alias("row"), *(v.alias(f"v{i}") for i, v in enumerate(values)))
+    each = [F.struct(F.struct(F.lit(i).alias("column"), F.col(f"v{i}").alias("value")).alias("key"), F.col(f"v{i}").alias("v")) for i in range(len(columns))]
+    long = melted(rows, each, "v", F.col("row")).drop("v")
+    table = ranks.select(F.struct("column", "value").alias("key"), "ranks", F.col("n0").alias("weight"))
+    found = lookup_join(long, table, "key", "weight")
+    wide = found.groupBy("row").agg(*(F.first(F.when(F.col("key.column") == i, F.col("ranks")), ignorenulls=True).alias(f"r{i}") for i in range(len(columns))))
+    pairs = list(combinations(range(len(columns)), 2))
+    if len(pairs) > PAIRS_PER_SCAN:
+        wide = stable(wide)
+    scans = []
+    for start in range(0, len(pairs), PAIRS_PER_SCAN):
+        part = pairs[start : start + PAIRS_PER_SCAN]
+        sums, told = [], []
+        for j, (a, b) in enumerate(part):
+            sums.append(F.sum(F.get(f"r{a}", F.lit(slot[b])) * F.get(f"r{b}", F.lit(slot[a]))).alias(f"p{j}"))
+            width = (spread.get((a, slot[b])) or 0.0) ** 0.5 * (spread.get((b, slot[a])) or 0.0) ** 0.5
+            r = _clamped(F.try_divide(F.col(f"p{j}"), F.lit(float(width))))
+            told.append(F.struct(F.lit(columns[a]).alias("col_a"), F.lit(columns[b]).alias("col_b"), r.alias("r")))
+        scans.append(rows_from_struct(wide.agg(*sums), told))
+    return reduce(DataFrame.unionAll, scans)
 
 
 def full_matrix(pairs: DataFrame, df: DataFrame, columns: Sequence[str]) -> DataFrame:

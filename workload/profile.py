@@ -214,6 +214,17 @@ def spearman_pairwise_null(t: Tables):
     return rounded(P.correlation_pairs(t.gaps, method="spearman"))
 
 
+@query(
+    "spearman_four_with_nulls",
+    f"WITH {GAPS}, wide AS (SELECT *, CASE WHEN event_id % 5 = 0 THEN NULL ELSE (event_id * 7) % 13 END AS beat FROM gaps) "
+    + spearman_sql("wide", list(combinations(["event_id", "user_id", "value", "beat"], 2))),
+)
+def spearman_four_with_nulls(t: Tables):
+    """Two of four columns have nulls, in different rows."""
+    wide = t.gaps.withColumn("beat", F.expr("CASE WHEN event_id % 5 = 0 THEN NULL ELSE (event_id * 7) % 13 END"))
+    return rounded(P.correlation_pairs(wide, method="spearman"))
+
+
 @query(
     "column_info",
     f"WITH {GAPS} "
