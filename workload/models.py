@@ -12,6 +12,7 @@ from tabulens.functions.columns import small_frame
 from tabulens.operators import charts as G
 from tabulens.operators import metrics as M
 from tabulens.operators import modelling as L
+from tabulens.operators.clusters import fit_many
 from tabulens.operators.trees import Boosting, Forest
 
 from .registry import Tables, query, union
@@ -344,3 +345,21 @@ def permuted_values(t: Tables):
     owners = rows.select(F.col("c_custkey").alias("bearer"), F.col("c_nationkey").cast("bigint").alias("nation"))
     found = turned.select(F.col("__repeat").alias("repeat"), F.col("c_custkey").alias("bearer")).join(owners, "bearer")
     return found.groupBy("repeat", "bearer", "nation").agg(F.count("*").alias("n"))
+
+
+def spread_sql(k: int, groups: str) -> str:
+    squares = "count(*) * var_pop(x) + count(*) * var_pop(y)"
+    return f"SELECT {k} AS k, round(sum(s) / 1000, 3) + 0.0 AS cost FROM (SELECT {squares} AS s FROM far GROUP BY {groups})"
+
+
+@query(
+    "shared_kmeans_costs",
+    """WITH far AS (SELECT c_nationkey // 5 AS district, CAST((c_nationkey // 5) * 1000 + c_custkey % 7 AS DOUBLE) AS x,
+  CAST(pow(c_nationkey // 5 - 2, 2) * 900 + c_custkey % 5 AS DOUBLE) AS y FROM customer) """
+    + union([spread_sql(1, "1 = 1"), spread_sql(5, "district")]),
+)
+def shared_kmeans_costs(t: Tables):
+    """Groups far from each other, fitted for one and for five clusters in the same steps: the costs are the spreads."""
+    far = t.customer.selectExpr("CAST((c_nationkey DIV 5) * 1000 + c_custkey % 7 AS DOUBLE) AS x", "CAST(pow(c_nationkey DIV 5 - 2, 2) * 900 + c_custkey % 5 AS DOUBLE) AS y")
+    found = fit_many(far.select(array_to_vector(F.array("x", "y")).alias("features")), [1, 5], L.SEED)
+    return small_frame(t.spark, [(k, round(cost / 1000, 3)) for k, (_, cost) in found.items()], "k int, cost double")
