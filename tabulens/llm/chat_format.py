@@ -4,14 +4,17 @@
     turn         = "[INST] " role " [/INST]" text "</s>"
 
 The parser cuts at "</s>", takes the role up to the first " [/INST]" and the
-text after it, and undoes escapes in both.  A turn is first rendered as it is.
-The rendered text is parsed again, and if that does not give exactly the one
-turn it came from, the turn's content is escaped and tried again.  So ordinary
-text stays as it is, whatever it says, and only conflicting content is escaped.
+text after it, refuses a role or text that still holds a control string, and
+undoes escapes in both.  A turn is first rendered as it is.  The rendered text
+is parsed again, and if that does not give exactly the one turn it came from,
+the turn's content is escaped and tried again.  So ordinary text stays as it
+is, and a control string inside a text never reaches the output raw.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,15 +47,17 @@ def pieces_of(formatted: Column) -> Column:
     return F.when(F.element_at(cut, -1) == "", F.slice(cut, 1, F.size(cut) - 1)).otherwise(cut)
 
 
+def has_control(c: Column) -> Column:
+    return reduce(lambda a, b: a | b, (c.contains(plain) for plain, _ in ESCAPES[1:]))
+
+
 def parsed_turn(piece: Column) -> Column:
     """role, text (escapes undone) and body_at, the code points before the text; null roles where the grammar fails."""
     at = F.locate(BODY, piece)
-    fits = piece.startswith(HEAD) & (at > len(HEAD) - 1)
-    role = F.when(fits, unescaped(F.substring(piece, F.lit(len(HEAD) + 1), at - 1 - len(HEAD))))
     body_at = at - 1 + len(BODY)
-    return F.struct(
-        role.alias("role"), unescaped(F.substring(piece, body_at + 1, F.length(piece))).alias("text"), body_at.alias("body_at")
-    )
+    role, text = F.substring(piece, F.lit(len(HEAD) + 1), at - 1 - len(HEAD)), F.substring(piece, body_at + 1, F.length(piece))
+    fits = piece.startswith(HEAD) & (at > len(HEAD) - 1) & ~has_control(role) & ~has_control(text)
+    return F.struct(F.when(fits, unescaped(role)).alias("role"), unescaped(text).alias("text"), body_at.alias("body_at"))
 
 
 def parsed(formatted: Column) -> Column:

@@ -65,15 +65,28 @@ def test_conversations_survive_formatting(spark):
 
 
 def test_only_conflicting_content_is_escaped(spark):
-    rows = [(1, 0, "user", "R&D [INST] <s> [/INST]"), (2, 0, "user", "a</s>b"), (3, 0, "user", "a&amp;b")]
+    rows = [(1, 0, "user", "R&D [INST <s /INST]"), (2, 0, "user", "a</s>b"), (3, 0, "user", "a&amp;b")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r.formatted for r in chat_format.format_conversations(df).collect()}
-    assert got[1] == "[INST] user [/INST]R&D [INST] <s> [/INST]</s>"
+    assert got[1] == "[INST] user [/INST]R&D [INST <s /INST]</s>"
     assert got[2] == "[INST] user [/INST]a&#60;/s>b</s>"
     assert got[3] == "[INST] user [/INST]a&amp;amp;b</s>"
     assert chat_format.format_conversations(df.limit(0)).collect() == []
 
 
+def test_every_control_string_is_escaped_by_itself(spark):
+    controls = ["[INST]", "[/INST]", "<s>", "</s>"]
+    texts = [f"{a}{c}{b}" for c in controls for a in ("", "x ", "<", "[", "&") for b in ("", " y", ">", "]", ";")] + ["[INST", "<s", "</s", "a" * 300_000]
+    rows = [(i, t, role, x) for i, x in enumerate(texts) for t, role, x in ((0, "user", x), (1, "assistant", x), (2, x, "ok"))]
+    formatted = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    back = {r.conv_id: r for r in chat_format.read_back(formatted).collect()}
+    for i, x in enumerate(texts):
+        safe = x.replace("&", "&amp;").replace("[INST]", "&#91;INST]").replace("[/INST]", "&#91;/INST]").replace("<s>", "&#60;s>").replace("</s>", "&#60;/s>")
+        shown = safe if any(c in x for c in controls) else x
+        assert back[i].formatted == "".join(f"[INST] {r} [/INST]{t}</s>" for r, t in (("user", shown), ("assistant", shown), (shown, "ok")))
+        assert [(t.role, t.text) for t in back[i].turns] == [("user", x), ("assistant", x), (x, "ok")] and back[i].learned == x
+
+
 PAGES = {
     "plain article": (
         '<html><head><title>T</title><script>var a="</p>";</script></head><body><nav><ul><li><a href=/x>menu one</a></li></ul></nav>'
