@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, small, written
+from ..functions.ordered import lookup_join
+from .common import ascii_lower, small, unused, written
 
 SPAN = 10
 GRAM = 6
@@ -150,7 +151,9 @@ def contamination(
     base = word_rows(
         docs.select(docs[id_column].alias("id"), docs[text].alias("t")), F.col("id"), document_key(F.col("t")).alias("key"), text="t"
     ).select("id", "key", F.col("n").cast("bigint").alias("n_words"))
-    return base.join(found, "key", "left").select(
+    copies = texts.join(small(written(found, "found")).select("key"), "key").groupBy("key").agg(F.count("*").alias("copies"))
+    weighed = written(found.join(copies, "key"), "weighed")
+    return lookup_join(base, weighed, "key", "copies", "left").select(
         "id",
         "key",
         "n_words",
@@ -161,7 +164,7 @@ def contamination(
 
 def clean_rows(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text has no hit word."""
-    hit = contamination(docs, items, id_column, text).where("n_hit > 0").select(F.col("key").alias("__key")).distinct()
+    key = unused(docs, "contaminated_key")
+    hit = contamination(docs, items, id_column, text).where("n_hit > 0").select(F.col("key").alias(key)).distinct()
     hit = written(hit, "contaminated")
-    marked = docs.withColumn("__k", document_key(docs[text]))
-    return marked.join(small(hit), F.col("__k") == F.col("__key"), "left_anti").drop("__k")
+    return docs.join(small(hit), document_key(docs[text]) == hit[key], "left_anti")

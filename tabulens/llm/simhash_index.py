@@ -1,17 +1,18 @@
 """Near-duplicate groups by SimHash fingerprints and multi-index hashing.
 
-A fingerprint has two segments of 32 bits.  Two fingerprints that differ in at
-most two bits have a common neighbour: a value one bit away from either, in the
-one segment or the other, or one of the two themselves.  So each distinct
-fingerprint enumerates the Hamming ball of radius one within each segment, the
-other segment as it is (65 keys), the index table brings together the
-fingerprints under one key, and their complete distances are verified.  Tables
-keyed by a segment alone would hold whole groups of near copies in one bucket;
-here at most 65 distinct fingerprints can share a key, so no bucket is hot, no
-cap is needed, and no pair is lost.
-
-Links are kept as stars from the smallest fingerprint under each key, and
-groups are the connected components of the stars.
+A fingerprint has two segments of 32 bits, and each segment has a table keyed
+by its value.  Fingerprints that differ in at most two bits are equal in one
+segment, or differ in one bit of each.  So a fingerprint fetches, from the table
+of the first segment, what lies in the Hamming ball of radius one around its own
+value, and from the table of the second one what is equal there; the complete
+distance of every match is verified.
+
+A table entry with more than BUCKET fingerprints, such as a large group of near
+copies, is split by the other segment: there too the ball of radius one is
+enumerated, of which at most 33 distinct fingerprints meet in one key.  So no
+key is hot, no cap is needed, and no pair is lost.
+
+Groups are the connected components of the links.
 """
 
 from __future__ import annotations
@@ -21,15 +22,18 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import lookup_join
 from .common import arrow_map, small, unused, written
 
 SHINGLE = 3
 SEED = 42
 #: Fingerprints link at this many differing bits or fewer; the enumeration above is for two.
 BITS = 2
+#: A table entry with more distinct fingerprints is split by the other segment.
+BUCKET = 64
 BLOCK = 1 << 16
 
 
@@ -66,18 +70,48 @@ def fingerprints(df: DataFrame, id_column: str = "doc_id", text: str = "text") -
     return arrow_map(rows, work, f"id {kind}, content bigint, fp bigint", ["x"])
 
 
-def ball_keys() -> F.Column:
-    """The fingerprint, and it with one bit of the low or of the high segment turned."""
-    turned = [F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)]
-    return F.array(F.col("fp"), *turned)
+def segment(fp: Column, which: int) -> Column:
+    """The high (0) or the low (1) 32 bits as a number."""
+    return F.shiftrightunsigned(fp, 32) if which == 0 else fp.bitwiseAND(F.lit((1 << 32) - 1))
+
+
+def ball(value: Column) -> Column:
+    """A segment's value, and it with one bit turned."""
+    return F.array(value, *(value.bitwiseXOR(F.lit(1 << i)) for i in range(32)))
+
+
+def near(pairs: DataFrame) -> DataFrame:
+    """The matches (u, v) whose complete distance is small enough, the larger one first."""
+    return pairs.where((F.col("u") > F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= BITS))
 
 
 def close_pairs(distinct: DataFrame) -> DataFrame:
-    """Stars of linked fingerprints (u > v), verified by their complete distance."""
-    tables = distinct.select("fp", F.explode(ball_keys()).alias("key"))
-    matches = tables.groupBy("key").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    stars = matches.select(F.array_min("fps").alias("v"), F.explode("fps").alias("u")).where("u <> v")
-    return stars.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= BITS).select("u", "v").distinct()
+    """Links (u > v) of distinct fingerprints, enough of them to connect all that lie within BITS of each other."""
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = distinct.select("fp").repartition(parts, "fp")  # each becomes 34 look-ups
+    fp = F.col("fp")
+    entries = [F.struct(F.lit(s).alias("segment"), segment(fp, s).alias("value"), segment(fp, 1 - s).alias("other")) for s in (0, 1)]
+    table = spread.select("fp", F.inline(F.array(*entries)))
+    sizes = written(table.groupBy("segment", "value").agg(F.count("*").alias("n")).where(F.col("n") > 1), "bucket-sizes")
+    crowded = written(sizes.where(F.col("n") > BUCKET).select("segment", "value", F.lit(True).alias("crowded")), "crowded")
+    marked = table.join(small(crowded), ["segment", "value"], "left")
+
+    # look-ups: the ball in the first segment, the value itself in the second
+    around = F.when(F.col("segment") == 0, ball(F.col("value"))).otherwise(F.array("value"))
+    probes = table.select(F.col("fp").alias("u"), "segment", F.col("value").alias("own"), "other", F.explode(around).alias("value"))
+    probes = probes.join(small(crowded), ["segment", "value"], "left")
+    plain = marked.where("crowded IS NULL").select("segment", "value", F.col("fp").alias("v"))
+    found = near(probes.where("crowded IS NULL").select("segment", "value", "u").join(plain, ["segment", "value"]))
+
+    # a crowded entry, from inside: what shares its value meets at a value of the other segment one bit from both
+    inside = marked.where("crowded").select("segment", "value", "fp", F.explode(ball(F.col("other"))).alias("key"))
+    groups = inside.groupBy("segment", "value", "key").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
+    stars = near(groups.select(F.array_min("fps").alias("v"), F.explode("fps").alias("u")))
+    # and from outside, one bit turned: the other segment may differ in one bit, so the whole fingerprint is known
+    outside = probes.where("crowded AND value <> own").select("u", "value", F.explode(ball(F.col("other"))).alias("low"))
+    outside = outside.select("u", F.shiftleft("value", 32).bitwiseOR(F.col("low")).alias("v")).where("u > v")
+    whole = near(outside.join(distinct.select(F.col("fp").alias("v")), "v", "left_semi"))
+    return found.select("u", "v").unionByName(stars.select("u", "v")).unionByName(whole.select("u", "v")).distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -119,13 +153,13 @@ def groups(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Data
     has none.  Repeated rows each stay.  An empty table gives an empty result.
     """
     rows = written(fingerprints(df, id_column, text), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min("id").alias("least_id"))
+    distinct = rows.groupBy("fp").agg(F.min("id").alias("least_id"), F.count("*").alias("n"))
     distinct = written(distinct, "distinct")
     stars = connected(close_pairs(distinct.select("fp"))).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     rooted = distinct.join(stars, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.select("fp", "root").join(ids, "root")
-    return rows.join(named, "fp").select("id", "content", "fp", "root", "component_id")
+    named = written(rooted.select("fp", "root", "n").join(ids, "root"), "named")
+    return lookup_join(rows, named, "fp", "n").select("id", "content", "fp", "root", "component_id")
 
 
 def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", grouping: Callable[..., DataFrame] = groups) -> DataFrame:

@@ -132,6 +132,47 @@ def test_one_of_each_group_stays(spark, near_copies):
     assert sorted(ids, key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("bucket", [64, 3])
+def test_links_connect_all_close_fingerprints(spark, monkeypatch, bucket):
+    """5,000 distinct fingerprints in one entry of a segment's table, and scattered ones, against brute force."""
+    monkeypatch.setattr(simhash_index, "BUCKET", bucket)
+    rng = random.Random(6)
+    fps = {(0xABCD1234 << 32 | rng.getrandbits(13) << 4) for _ in range(9000)}
+    fps = set(list(fps)[:5000])
+    for _ in range(1500):
+        base = rng.getrandbits(64)
+        fps |= {base, base ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64), base ^ 1 << rng.randrange(64), rng.getrandbits(64)}
+    fps |= {f ^ 1 << 32 + rng.randrange(32) ^ 1 << rng.randrange(32) for f in rng.sample(sorted(fps), 300)}
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    distinct = spark.createDataFrame([(f,) for f in signed], "fp long")
+    links = simhash_index.close_pairs(distinct)
+    assert links.where("bit_count(u ^ v) > 2 OR u <= v").count() == 0
+    root = {f: f for f in signed}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    known = set(signed)
+    flips = [1 << i for i in range(63)] + [-(1 << 63)]
+    masks = flips + [a ^ b for i, a in enumerate(flips) for b in flips[:i]]
+    for f in signed:
+        for m in masks:
+            if f ^ m in known:
+                root[find(f)] = find(f ^ m)
+    want = {}
+    for f in signed:
+        want.setdefault(find(f), set()).add(f)
+    got = {}
+    joined = {r.u: r.v for r in simhash_index.connected(links).collect()}
+    for f in signed:
+        got.setdefault(joined.get(f, f), set()).add(f)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert max(map(len, want.values())) > 1000
+
+
 def test_groups_of_an_empty_table(spark):
     assert simhash_index.groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
