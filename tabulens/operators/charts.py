@@ -21,7 +21,7 @@ from ..functions.columns import (
 from ..functions.ordered import lookup_join, stable
 from ..functions.quantiles import exact_quantiles, group_quantile_frame
 from . import explore, metrics
-from .clean import parsed_time
+from .clean import day_first_columns, parsed_time
 from .profile import correlation_matrix, top_values
 
 ONE_GROUP = "all"
@@ -313,8 +313,9 @@ def time_series(df: DataFrame, time_col: str, value_cols: Sequence[str]) -> Data
         return df.sparkSession.createDataFrame([], "time timestamp, series string, value double")
     df = nan_to_null(df)
     entries = F.array(*(F.struct(F.lit(c).alias("series"), as_double(c).alias("value")) for c in chosen))
+    time = parsed_time(df, time_col, day_first_columns(df, [time_col]))
     return (
-        df.select(parsed_time(df, time_col).alias("time"), F.inline(entries))
+        df.select(time.alias("time"), F.inline(entries))
         .where(F.col("time").isNotNull())
         .orderBy("time", "series", "value")
     )

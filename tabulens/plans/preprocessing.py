@@ -24,9 +24,10 @@ class FittedCleaning:
     drop_datetime_originals: bool
     missing_strategy: str
     steps: list = field(default_factory=list)
+    day_first: frozenset[str] = frozenset()
 
     def apply(self, df: DataFrame) -> DataFrame:
-        df = C.add_date_parts(nan_to_null(df), self.datetime_columns, self.drop_datetime_originals)
+        df = C.add_date_parts(nan_to_null(df), self.datetime_columns, self.drop_datetime_originals, self.day_first)
         if self.missing_strategy == "drop":
             df = C.drop_missing(df)
         for step in self.steps:
@@ -58,7 +59,8 @@ def run_preprocessing(
     df = nan_to_null(df)
     # found once, so that the parts are made for other rows too, dates or none
     dates = C.dated_columns(df, datetime_columns)
-    fitted = FittedCleaning(dates, drop_datetime_originals, missing_strategy)
+    day_first = C.day_first_columns(df, dates)
+    fitted = FittedCleaning(dates, drop_datetime_originals, missing_strategy, day_first=day_first)
     log: list[tuple[str, str, float]] = []
 
     def note(step: str, **values: float) -> None:
@@ -66,7 +68,7 @@ def run_preprocessing(
 
     rows_in = df.count()
     note("input", rows=rows_in, columns=len(df.columns))
-    out = C.add_date_parts(df, dates, drop_datetime_originals)
+    out = C.add_date_parts(df, dates, drop_datetime_originals, day_first)
     note("datetime_extraction", new_columns=len([c for c in out.columns if c not in df.columns]))
 
     before = out

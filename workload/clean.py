@@ -331,6 +331,16 @@ def datetime_features_text(t: Tables):
     return C.extract_datetime_features(t.orders.select("o_orderkey", text.alias("o_orderdate")), drop_original=True)
 
 
+@query(
+    "datetime_features_day_first",
+    f"""SELECT o_orderkey, {date_sql('o_orderdate')} FROM (SELECT o_orderkey, date_trunc('day', o_orderdate) AS o_orderdate FROM orders)""",
+)
+def datetime_features_day_first(t: Tables):
+    """Texts with the day first: days up to 12 do not tell, the others settle it for the whole column."""
+    text = F.date_format("o_orderdate", "dd/MM/yyyy")
+    return C.extract_datetime_features(t.orders.select("o_orderkey", text.alias("o_orderdate")), drop_original=True)
+
+
 CLEAN = f"""WITH {GAPS}, filled AS (SELECT CAST(user_id AS DOUBLE) AS user_id,
   coalesce(event_type, {mode_sql('event_type', 'gaps')}) AS event_type,
   coalesce(value, (SELECT avg(value) FROM gaps)) AS value FROM gaps),
