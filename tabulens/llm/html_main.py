@@ -26,9 +26,17 @@ from .common import arrow_map
 
 ITEM = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>",
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>",
     re.S,
 )
+#: What still counts once no ">" follows, and a tag that ends at the next one whatever its quotes say.
+UNENDED = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)(?P<close>)(?P<name>)(?P<attributes>)", re.S)
+BLUNT = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attributes>[^>]*+)>",
+    re.S,
+)
+QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+", re.S)
 #: One attribute with its whole value, so that nothing inside a value counts as a name; an unclosed quote goes to the end.
 ATTRIBUTE = re.compile(r"([^\s/=\"'>][^\s/=>]*+)(?:\s*+=\s*+(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*+)))?|\"[^\"]*+\"?|'[^']*+'?", re.S)
 NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -91,17 +99,21 @@ def items(page: str, wrappers: frozenset[int] = frozenset(), named: list[tuple[i
     """
     # open elements: name, boilerplate kind, number and name of the content element around them, start, characters before
     stack: list[tuple[str, str, int, str, int, int]] = []
-    hidden: list[str] = []
-    links = opened = seen = 0
+    hidden: list[tuple[str, int]] = []  # kind and depth
+    names: Counter = Counter()  # open elements by name, so that a stray end tag looks for none
+    links = opened = seen = boilers = 0
     element, around = -1, ""
     at, n = 0, len(page)
+    last, blunt_to = page.rfind(">"), 0
 
     def leave(depth: int) -> None:
-        nonlocal links, element, around
+        nonlocal links, element, around, boilers
         while len(stack) > depth:
             name, bad, element, around, start, before = stack.pop()
+            names[name] -= 1
             if bad:
                 hidden.pop()
+                boilers -= bad == BOILER
                 if named is not None and bad != BOILER:
                     named.append((start, seen - before))
             links -= name == "a"
@@ -109,11 +121,13 @@ def items(page: str, wrappers: frozenset[int] = frozenset(), named: list[tuple[i
     def run(text: str) -> tuple[str, str, bool, int]:
         nonlocal seen
         seen += len(text.strip())
-        kind = (BOILER if BOILER in hidden else hidden[-1]) if hidden else LINK if links else PLAIN
+        kind = (BOILER if boilers else hidden[-1][0]) if hidden else LINK if links else PLAIN
         return (kind, text, False, element)
 
     while at < n:
-        m = ITEM.search(page, at)
+        m = (UNENDED if at > last else BLUNT if at < blunt_to else ITEM).search(page, at)
+        if m is not None and m.start() > last and m.re is not UNENDED:
+            m = UNENDED.search(page, at)
         if m is None:
             yield run(page[at:])
             break
@@ -124,24 +138,26 @@ def items(page: str, wrappers: frozenset[int] = frozenset(), named: list[tuple[i
             yield run(m["cdata"])
         if not m["name"]:
             continue
+        if m.re is ITEM and (quoted := QUOTED.match(page, m.start("attributes")).end()) >= at:
+            # a quote that is never closed: tags up to it end at their next ">", so that none looks for it again
+            blunt_to = quoted
         name, closing = m["name"].lower(), bool(m["close"])
         if name in RAW and not closing:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+            end = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at) if at <= last else None
+            after = page.find(">", end.end()) if end else -1
+            at = after + 1 if after >= 0 else n
             yield (name, "", True, element)
             continue
         block = name in BLOCKS
         if closing:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    leave(depth)
-                    break
+            if names[name]:
+                leave(next(depth for depth in range(len(stack) - 1, -1, -1) if stack[depth][0] == name))
             yield (name, "", block, element)
             continue
         if block and stack and stack[-1][0] == "p":
             leave(len(stack) - 1)
         if name in CONTENT and hidden and element < 0:  # a container that was never closed ends here
-            leave(next(i for i, x in enumerate(stack) if x[1]))
+            leave(hidden[0][1])
         if name == "li" and stack and stack[-1][0] == "li":
             leave(len(stack) - 1)
         bad = boilerplate(name, m["attributes"] or "", element >= 0)
@@ -151,8 +167,10 @@ def items(page: str, wrappers: frozenset[int] = frozenset(), named: list[tuple[i
             yield (name, "", block, element)
             continue
         stack.append((name, bad, element, around, m.start(), seen))
+        names[name] += 1
         if bad:
-            hidden.append(bad)
+            hidden.append((bad, len(stack) - 1))
+            boilers += bad == BOILER
         links += name == "a"
         if name in CONTENT and not hidden and (element < 0 or around == "main"):
             element, around, opened = opened, name, opened + 1

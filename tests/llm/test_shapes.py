@@ -1,6 +1,7 @@
 """Sharding, chat formatting, page text and top-k search."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -189,3 +190,29 @@ def test_boilerplate_by_attributes():
     bad = lambda a: html_main.boilerplate("div", a, True)
     assert bad(" hidden") and bad(' a="b"hidden') and bad("class='x side Nav'") and bad(" id=cookie-bar ") and bad(' ARIA-HIDDEN = "true"')
     assert not (bad(' alt="x hidden y"') or bad(" data-class=ad") or bad(' x="class=\'ad\'"') or bad(' aria-hidden="false"'))
+
+
+HOSTILE = {
+    "a quote never closed": "<a x='" * 170_000,
+    "the same with one end": "<a x='" * 170_000 + ">",
+    "stray end tags": "<span>" * 80_000 + "</div>" * 80_000,
+    "ends inside quotes": "<b '>'" * 170_000 + '"',
+    "raw text never closed": "<script>" + "</script " * 110_000,
+    "articles under open spans": "<span>" * 50_000 + "<nav><article></article>" * 20_000,
+    "only starts": "<a" * 500_000,
+    "deep boilerplate": "<nav>" * 100_000 + "x " * 100_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_take_linear_time(name):
+    page = HOSTILE[name]
+    started = time.process_time()
+    count = sum(1 for _ in html_main.items(page))
+    assert count >= 1 and time.process_time() - started < 10  # a square would take minutes
+
+
+def test_after_an_unclosed_quote_tags_count_again():
+    page = """<p title="a>b">one</p><b '>' x="never closed <i>two</i> '>' <nav>menu</nav><p>three"""
+    kinds = [(kind, text) for kind, text, _, _ in html_main.items(page) if text.strip()]
+    assert ("word", "one") in kinds and ("word in boilerplate", "menu") in kinds and kinds[-1] == ("word", "three")
