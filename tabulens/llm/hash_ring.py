@@ -79,7 +79,8 @@ def settled(counts: dict[int, int], nodes: list[tuple[int, int]], room: list[int
 
 
 def sharded(df: DataFrame, key: list[Column], shards: int, virtual_nodes: int = VIRTUAL_NODES, slack: float = 0.0) -> DataFrame:
-    """``df`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (bigint, gapless from 0 in each shard).
+    """``df`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (bigint, gapless from 0 in each shard),
+    which replace input columns of those names.
 
     Without ``slack`` shard sizes differ by one row at most; with it, no shard
     holds more than (1 + slack) times the mean, and fewer rows leave the node
@@ -88,23 +89,24 @@ def sharded(df: DataFrame, key: list[Column], shards: int, virtual_nodes: int =
     arbitrary, and such rows are interchangeable.  An empty table gives none.
     """
     spark = df.sparkSession
-    # places and ranks from one hash: the low bits say where, the rest in which order
-    hashed = df.withColumn("__h", F.xxhash64(*key))
-    hashed = hashed.withColumn("__cell", F.col("__h").bitwiseAND(F.lit(CELLS - 1)).cast("int"))
-    counts = {r["__cell"]: r["count"] for r in hashed.groupBy("__cell").count().collect()}  # at most CELLS rows
+    # whole rows in one column, so that no helper name can clash; places and ranks come from one hash:
+    # the low bits say where, the rest in which order
+    rows = df.select(F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("row"), F.xxhash64(*key).alias("h"))
+    rows = rows.withColumn("cell", F.col("h").bitwiseAND(F.lit(CELLS - 1)).cast("int"))
+    counts = {r["cell"]: r["count"] for r in rows.groupBy("cell").count().collect()}  # at most CELLS rows
     room = bounds(sum(counts.values()), shards, slack)
     plan = settled(counts, ring(shards, virtual_nodes), room)
     by_cell: dict[int, list] = {}
     for cell, first, end, shard, slot in plan:
         by_cell.setdefault(cell, []).append((first, end, shard, slot))
-    schema = "__cell int, __takes array<struct<first:bigint,end:bigint,shard:int,slot:bigint>>"
+    schema = "cell int, takes array<struct<first:bigint,end:bigint,shard:int,slot:bigint>>"
     takes = spark.createDataFrame(sorted(by_cell.items()), schema)
-    order = Window.partitionBy("__cell").orderBy("__h", *(F.col(f"`{c}`") for c, kind in df.dtypes if "map" not in kind))
-    ranked = hashed.withColumn("__rank", F.row_number().over(order) - 1).join(F.broadcast(takes), "__cell")
-    rank = F.col("__rank")
-    mine = F.get(F.filter("__takes", lambda t: (t["first"] <= rank) & (rank < t["end"])), F.lit(0))
-    return ranked.withColumn("__take", mine).select(
-        *(F.col(f"`{c}`") for c in df.columns),
-        F.col("__take.shard").alias("shard"),
-        (F.col("__take.slot") + rank - F.col("__take.first")).cast("bigint").alias("slot"),
+    order = Window.partitionBy("cell").orderBy("h", *(F.col(f"row.`{c}`") for c, kind in df.dtypes if "map" not in kind))
+    ranked = rows.withColumn("rank", F.row_number().over(order) - 1).join(F.broadcast(takes), "cell")
+    rank = F.col("rank")
+    mine = F.get(F.filter("takes", lambda t: (t["first"] <= rank) & (rank < t["end"])), F.lit(0))
+    return ranked.withColumn("take", mine).select(
+        *(F.col(f"row.`{c}`") for c in df.columns if c.lower() not in ("shard", "slot")),
+        F.col("take.shard").alias("shard"),
+        (F.col("take.slot") + rank - F.col("take.first")).cast("bigint").alias("slot"),
     )

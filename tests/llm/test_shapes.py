@@ -31,6 +31,56 @@ def test_bounded_loads_move_few_rows(spark):
     assert sum(few[i] != more[i] for i in few) < 0.35 * len(few)  # dealing anew would move 10 of 11
 
 
+def walked(counts, nodes, room):
+    """The same plan row by row: every row walks from its place, first those that their own node takes."""
+    places, free, used, shard_of = [p for p, _ in nodes], list(room), [0] * len(room), {}
+    own = lambda cell: next((i for i, p in enumerate(places) if p >= cell), 0)
+    walkers = []
+    for cell in sorted(counts):
+        for rank in range(counts[cell]):
+            shard = nodes[own(cell)][1]
+            if free[shard]:
+                shard_of[cell, rank] = (shard, used[shard])
+                free[shard], used[shard] = free[shard] - 1, used[shard] + 1
+            else:
+                walkers.append((cell, rank, own(cell)))
+    carried = []
+    for step in range(2 * len(nodes)):  # those who set out at a node join behind those who come from before
+        at, left = step % len(nodes), []
+        shard = nodes[at][1]
+        for cell, rank in carried:
+            if free[shard]:
+                shard_of[cell, rank] = (shard, used[shard])
+                free[shard], used[shard] = free[shard] - 1, used[shard] + 1
+            else:
+                left.append((cell, rank))
+        carried = left + ([(c, r) for c, r, n in walkers if n == at] if step < len(nodes) else [])
+    return shard_of
+
+
+def test_the_plan_is_that_of_a_row_by_row_walk():
+    rng = random.Random(8)
+    for _ in range(40):
+        shards = rng.randrange(1, 7)
+        nodes = sorted({rng.randrange(60): rng.randrange(shards) for _ in range(12)}.items())
+        nodes += [(60 + s, s) for s in range(shards)]
+        counts = {rng.randrange(66): rng.randrange(1, 30) for _ in range(10)}
+        room = hash_ring.bounds(sum(counts.values()), shards, 0.0)
+        plan = {
+            (cell, first + i): (shard, slot + i)
+            for cell, first, end, shard, slot in hash_ring.settled(counts, nodes, room)
+            for i in range(end - first)
+        }
+        assert plan == walked(counts, nodes, room)
+
+
+def test_sharding_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, i * 2, "x", i, 5) for i in range(50)], "doc_id long, __cell int, h string, row int, shard int")
+    got = hash_ring.sharded(df, [F.col("doc_id")], 4)
+    assert got.columns == ["doc_id", "__cell", "h", "row", "shard", "slot"]
+    assert all((r["__cell"], r["h"], r["row"]) == (r["doc_id"] * 2, "x", r["doc_id"]) for r in got.collect())
+
+
 def test_overflow_goes_on_clockwise():
     plan = hash_ring.settled({5: 10, 40: 1}, [(10, 0), (20, 1), (50, 2)], [4, 3, 4])
     assert plan == [(5, 0, 4, 0, 0), (40, 0, 1, 2, 0), (5, 4, 7, 1, 0), (5, 7, 10, 2, 1)]
