@@ -8,7 +8,7 @@ per column pair, are answered once each, and the answers are joined back.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +25,7 @@ from ..functions.columns import (
     small_frame,
     text_columns,
 )
+from ..functions.ordered import lookup_join
 from ..functions.quantiles import exact_quantiles
 from .profile import overview, top_correlations, top_values
 
@@ -105,9 +106,11 @@ def question_intent(text: Column) -> Column:
     return out.otherwise(UNSUPPORTED)
 
 
-def mentioned_column(question: Column, columns: Sequence[str]) -> Column:
-    """The longest column name that appears as whole words, or NULL."""
-    lowered = F.lower(question)
+WORD_EDGED = re.compile(r"\w(.*\w)?", re.S)
+
+
+def _odd_mention(lowered: Column, columns: Sequence[str]) -> Column:
+    """The longest of some names that begin or end with no word character, by a pattern each."""
     out = F.lit(None).cast("string")
     for name in reversed(sorted(columns, key=len, reverse=True)):
         pattern = r"(?U)\b" + re.sub(r"(\W)", r"\\\1", name.lower()) + r"\b"
@@ -115,6 +118,60 @@ def mentioned_column(question: Column, columns: Sequence[str]) -> Column:
     return out
 
 
+def with_mentions(questions: DataFrame, question: str, wanted: Mapping[str, Sequence[str]]) -> DataFrame:
+    """``questions`` with, for each entry of ``wanted``, the longest of its column names that appears as whole words, or NULL.
+
+    Each different text is cut into runs of words as long as the longest name,
+    which are looked up in a table of the names, so the plan is the same for
+    any number of columns.  Names of equal length go by their order.
+    """
+    spark, outs = questions.sparkSession, list(wanted)
+    places: dict[str, dict[str, int]] = {}
+    odd: dict[str, list[str]] = {o: [] for o in outs}
+    for o in outs:
+        for i, name in enumerate(wanted[o]):
+            if WORD_EDGED.fullmatch(name.lower()):
+                places.setdefault(name.lower(), {}).setdefault(o, i)
+            else:
+                odd[o].append(name)
+    rows = [(gram, *(at.get(o) for o in outs), *(wanted[o][at[o]] if o in at else None for o in outs)) for gram, at in places.items()]
+    fields = [f"at{k} bigint" for k in range(len(outs))] + [f"name{k} string" for k in range(len(outs))]
+    names = small_frame(spark, rows, ", ".join(["gram string", *fields]))
+    most = max((len(re.findall(r"\w+", gram)) for gram in places), default=1)
+
+    lowered = F.lower(F.col("text"))
+    texts = questions.select(quoted(question).alias("text")).where("text IS NOT NULL").groupBy("text").agg(F.count("*").alias("times"))
+    parts = F.regexp_extract_all(lowered, F.lit(r"(?U)(\w+\W*)"), F.lit(1))
+    texts = texts.withColumn("parts", parts)
+    runs = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), F.lit(most)),
+            lambda n: F.when(
+                F.size("parts") >= n,
+                F.transform(F.sequence(F.lit(1), F.size("parts") - n + 1), lambda i: F.array_join(F.slice("parts", i, n), "")),
+            ).otherwise(F.array().cast("array<string>")),
+        )
+    )
+    cut = texts.select("text", F.explode(F.array_distinct(runs)).alias("run"))
+    cut = cut.withColumn("gram", F.regexp_replace("run", r"(?U)\W+\z", ""))
+    met = cut.join(F.broadcast(names), "gram")  # as many names as the table has columns
+    longest = [
+        F.max(F.when(F.col(f"at{k}").isNotNull(), F.struct(F.length("gram").alias("n"), (-F.col(f"at{k}")).alias("at"), F.col(f"name{k}").alias("name")))).alias(f"m{k}")
+        for k in range(len(outs))
+    ]
+    found = texts.select("text", "times").join(met.groupBy("text").agg(*longest), "text", "left")
+    told = []
+    for k, o in enumerate(outs):
+        plain = F.col(f"m{k}.name")
+        if odd[o]:
+            other = _odd_mention(lowered, odd[o])
+            plain = F.when(plain.isNull() | (F.length(other) > F.length(plain)), other).otherwise(plain)
+        told.append(plain.alias(o))
+    found = found.select(F.col("text").alias("__text"), "times", *told)
+    marked = questions.withColumn("__text", quoted(question))
+    return lookup_join(marked, found, "__text", "times", "left").drop("__text")
+
+
 def classify_questions(questions: DataFrame, question: str = "question") -> DataFrame:
     require_columns(questions, [question])
     return (
@@ -126,7 +183,7 @@ def classify_questions(questions: DataFrame, question: str = "question") -> Data
 
 def column_mentions(questions: DataFrame, columns: Sequence[str], question: str = "question") -> DataFrame:
     require_columns(questions, [question])
-    return questions.withColumn("mentioned", mentioned_column(quoted(question), columns))
+    return with_mentions(questions, question, {"mentioned": list(columns)})
 
 
 def parse_questions(questions: DataFrame, df: DataFrame, question: str = "question") -> DataFrame:
@@ -141,11 +198,13 @@ def parse_questions(questions: DataFrame, df: DataFrame, question: str = "questi
         .drop("__folded")
     )
     intent = F.col("intent")
-    return parsed.select(
-        "*",
-        F.when(intent == MAX_CATEGORY, mentioned_column(text, text_columns(df))).alias("cat_col"),
-        F.when(intent.isin(AVERAGE, SUM, MAX_CATEGORY), mentioned_column(text, numbers)).alias("num_col"),
-        F.when(intent == DISTRIBUTION, F.coalesce(mentioned_column(text, df.columns), F.lit(first))).alias("any_col"),
+    kept = parsed.columns
+    named = with_mentions(parsed, question, {"__cat": text_columns(df), "__num": numbers, "__any": df.columns})
+    return named.select(
+        *map(quoted, kept),
+        F.when(intent == MAX_CATEGORY, F.col("__cat")).alias("cat_col"),
+        F.when(intent.isin(AVERAGE, SUM, MAX_CATEGORY), F.col("__num")).alias("num_col"),
+        F.when(intent == DISTRIBUTION, F.coalesce("__any", F.lit(first))).alias("any_col"),
     )
 
 

@@ -57,6 +57,18 @@ def test_column_mentions(frame):
     assert got == ["total_sales", None, "region", None, None]
 
 
+def test_column_mentions_in_a_wide_table(spark, frame):
+    columns = [f"measure {i} of_{i % 7}" for i in range(5000)] + ["Alpha", "alpha", "x.y", "été", "end)"]
+    asked = frame(
+        "question string",
+        ("sum of MEASURE 4321 of_2 now",), ("measure 4321 of_22",), ("alpha?",), ("x.y or xAy",), ("x+y",), ("un été.",), ("the end)s",), ("",), (None,),
+    )
+    rows = Q.column_mentions(asked, columns)
+    assert [r.mentioned for r in rows.collect()] == ["measure 4321 of_2", None, "Alpha", "x.y", None, "été", "end)", None, None]
+    size = lambda n: len(Q.column_mentions(asked, columns[:n])._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(size(10) - size(4000)) < 200
+
+
 def test_every_answer(staff):
     a = ask(
         staff,
@@ -119,3 +131,14 @@ def test_one_failing_answer_leaves_the_others_of_its_class(frame):
     got = ask(df, "which k is the most frequent value", "which shop has the highest n", "what shop is the most frequent value")
     assert got[0][0].error.startswith("Query execution failed") and "'k'" in got[0][0].error
     assert {r.key: r.text for r in got[1]}["top_category"] == "b" and all(r.error is None for r in got[1] + got[2])
+
+
+def test_every_word_of_a_class_holds_one_of_its_stems():
+    words = {
+        Q.COUNT: Q.COUNT_WORDS, Q.AVERAGE: Q.AVERAGE_WORDS, Q.SUM: Q.SUM_WORDS, Q.CORRELATION: Q.CORRELATION_WORDS,
+        Q.MAX_CATEGORY: Q.EXTREME_WORDS, Q.DISTRIBUTION: Q.DISTRIBUTION_WORDS, Q.SUMMARY: Q.SUMMARY_WORDS,
+    }
+    assert set(words) == set(Q.STEMS)
+    for intent, listed in words.items():
+        for word in listed.split("|"):
+            assert any(stem in word for stem in Q.STEMS[intent]), word

@@ -24,7 +24,7 @@ QUESTION = """CASE p_partkey % 13
   WHEN 11 THEN 'What is the largest l_extendedprice of ' || p_brand || '?'
   ELSE 'Which thing is the best, ' || p_brand || '?' END"""
 
-# Written out here, not taken from the operator, so that a wrong word there shows.
+# The words that mark each class, written out here and not taken from the operator, so that a wrong word there shows.
 PATTERN_CASES = r"""
   WHEN regexp_matches(question, '\b(how many|count|number of|total number|total count|n rows|num rows|row count|record count|size of|how large)\b', 'i') THEN 'COUNT'
   WHEN regexp_matches(question, '\b(average|avg|mean|typical|median)\b', 'i') THEN 'AVERAGE'
