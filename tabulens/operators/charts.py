@@ -87,13 +87,18 @@ def kernel_density(df: DataFrame, column: str, x_col: str | None = None, points:
     middle = (F.col("box") + 0.5) / 2
     first = F.greatest(F.ceil((middle - REACH) / F.col("step")), F.lit(0))
     last = F.least(F.floor((middle + REACH) / F.col("step")), F.lit(points - 1))
-    near = boxes.join(groups.select("category", step.alias("step")), "category").withColumn("point", F.explode(F.sequence(first, last)))
+    if x_col is None:  # a join of two single categories would be a cross join
+        near = boxes.withColumn("step", F.lit((row.hi - row.lo) / row.width / (points - 1)))
+    else:
+        near = boxes.join(groups.select("category", step.alias("step")), "category")
+    near = near.withColumn("point", F.explode(F.sequence(first, last)))
     near = near.withColumn("t", F.col("point") * F.col("step") - middle)
     series = sum((F.col(f"m{j}") * _hermite(j, F.col("t")) for j in range(1, MOMENTS)), F.col("m0"))
     sums = near.select("category", F.col("point").cast("int").alias("point"), (series * F.exp(-F.col("t") * F.col("t") / 2)).alias("part"))
     sums = sums.groupBy("category", "point").agg(F.sum("part").alias("weight"))
     every = groups.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    return every.join(sums, ["category", "point"], "left").select(
+    joined = every.join(sums, ["category", "point"], "left") if x_col else every.join(sums.drop("category"), "point", "left")
+    return joined.select(
         "category",
         "point",
         (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("point") / F.lit(points - 1)).alias("x"),
