@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from .common import arrow_map
 
 #: Words that a worker remembers in two generations; words met again move to the younger one.
-MEMO = 600_000
+MEMO = 240_000
 #: Longer ones are not remembered.
 LONG = 48
 NEVER = 1 << 60
