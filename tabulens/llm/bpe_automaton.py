@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 
 from .common import arrow_map
 
+#: Bytes of text that are encoded at a time (a longer text alone).
+PIECE_BYTES = 1 << 20
 #: Words that a worker remembers in two generations; words met again move to the younger one.
 MEMO = 240_000
 #: Longer ones are not remembered.
@@ -259,5 +261,5 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
         )
 
     schema = ", ".join([*(f"{n} {k}" for n, k in zip(names, kinds)), "ids array<int>", "decoded string"])
-    out = arrow_map(rows, work, schema, ["x"])
+    out = arrow_map(rows, work, schema, ["x"], PIECE_BYTES)
     return out.select(*(out[n].alias(k) for k, n in zip(keep, names)), "ids", "decoded")
