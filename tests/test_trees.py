@@ -153,3 +153,24 @@ def test_a_failing_model_keeps_the_scores_of_the_others(spark, monkeypatch):
     with pytest.warns(UserWarning, match="Gradient Boosting"):
         scores = L.cross_validate(train, ["x"], L.CLASSIFICATION, estimators, 2)
     assert scores == {"Logistic Regression": [1.0, 1.0], "Gradient Boosting": []}
+
+
+def test_rows_of_the_same_bins_are_grown_as_one(spark):
+    df = spark.range(6000).selectExpr("id", "CAST(id % 5 AS DOUBLE) AS x", "CAST(id DIV 5 % 4 AS DOUBLE) AS z", "CAST(id % 3 AS INT) AS k")
+    rows = T.coded(prepared(df.repartition(3), ["x", "z"], "k"), T.Bins([np.arange(4.0), np.arange(3.0)], 2))
+    draw = lambda keys, t: T.poisson_one(keys, t)
+    made = T.bagged(rows, draw, 7)
+    assert made.count() == 60
+    table, keys = made.toArrow().combine_chunks(), rows.select("key").toArrow()["key"].to_numpy()
+    for t, times in T.bags(table, draw, 7):
+        assert times.sum() == draw(keys, t).sum()
+
+
+def test_a_model_that_stays_a_table_has_the_same_importances(table, monkeypatch):
+    rows = prepared(table, ["a", "b", "c"], "y")
+    small = T.Forest(3, None, 2).fit(rows, 3, 3)
+    monkeypatch.setattr(T, "MODEL_BYTES", 0)
+    monkeypatch.setattr(T, "SMALL_ROWS", 500)
+    large = T.Forest(3, None, 2).fit(rows, 3, 3)
+    assert large.trees is None and large.importances() == pytest.approx(small.importances(), rel=1e-9)
+    assert small.importances() == pytest.approx(small.featureImportances.toArray(), rel=1e-12)
