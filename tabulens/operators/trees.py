@@ -613,6 +613,8 @@ def upper_levels(rows: DataFrame, stats_of: Stats, trees: int, width: int, n: in
                 top.open.pop(x)
 
 
+#: Tasks that finish nodes, at most.
+GROW_TASKS = 400
 #: Rows that a task gathers before it hands them to the nodes that they fall into.
 SEND_ROWS = 200_000
 
@@ -701,7 +703,10 @@ def finished(rows: DataFrame, stats_of: Stats, tops: list[Top], width: int, rule
         tree, _ = grown(codes, starts, stats, rules, bins, salt, depth)
         return packed_table([packed(tree, {"tree": t, "node": x}, bins)], ["tree", "node"])
 
-    return rows.mapInArrow(send, kind).groupBy("tree", "node").applyInArrow(grow, f"tree int, node int, {TREE_FIELDS}")
+    # few bytes are much work here: without a number of its own, Spark would put all of it in a few tasks
+    parts = max(1, min(sum(len(top.open) for top in tops), GROW_TASKS))
+    sent = rows.mapInArrow(send, kind).repartition(parts, "tree", "node")
+    return sent.groupBy("tree", "node").applyInArrow(grow, f"tree int, node int, {TREE_FIELDS}")
 
 
 def grafted(top: Tree, below: dict[int, Tree]) -> Tree:
