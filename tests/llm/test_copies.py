@@ -270,3 +270,10 @@ def test_internal_names_do_not_clash_with_columns(spark):
     )
     kept = simhash_index.keep_one(df)
     assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(1, "a b c", 5, 6, 7, 8)]
+
+
+def test_sets_that_can_not_be_similar_do_not_meet_by_prefix(spark):
+    held = [(1, list(range(1, 6))), (2, list(range(1, 51))), (3, list(range(6, 51)))]
+    sets = spark.createDataFrame(held, "node long, s array<bigint>")
+    pairs = near_copies_module.prefix_pairs(sets.selectExpr("node", "node AS root"), sets)
+    assert [tuple(r) for r in pairs.collect()] == [(3, 2)]
