@@ -242,6 +242,31 @@ def test_pages_of_one_template_meet_in_few_pairs(spark, monkeypatch):
     assert sum(counted) < 2000 * 100
 
 
+def test_edited_copies_meet_their_original_and_not_each_other(spark, monkeypatch):
+    """Texts with one to four words changed: up to three changes link with the original, four with few others."""
+    counted = []
+    real = near_copies_module.verified
+
+    def verified(pairs, sets):
+        counted.append(pairs.count())
+        return real(pairs, sets)
+
+    monkeypatch.setattr(near_copies_module, "verified", verified)
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(400)}" for _ in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 600):
+        text = list(base)
+        for _ in range(1 if i % 10 == 0 else rng.choice([3, 4])):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    root = {r.id: r.root for r in near_copies_module.groups(df).collect()}
+    want = brute_similar_groups(rows)
+    assert len(set(zip(root.values(), (want[i] for i in root)))) == len(set(root.values())) == len(set(want))
+    assert counted[-1] <= 600 and sum(counted) <= 600 * 16
+
+
 def test_no_pair_is_lost_after_the_stars(spark, monkeypatch):
     """Without star rounds, the prefixes alone find every pair of the brute force."""
     monkeypatch.setattr(near_copies_module, "STAR_ROUNDS", 0)
