@@ -491,15 +491,26 @@ class Top:
 
 #: Bytes of sums that a task adds up over its batches before it hands them on.
 DENSE_BYTES = 64 << 20
+#: Rows that are stored as one block, at most.
+BLOCK_ROWS = 10_000
+#: Rows that a task of a boosting round takes, at most.
+TASK_ROWS = 200_000
 #: Bins whose sums are merged in one group before a node's split is chosen.
 SLICE = 1 << 16
 
 
-def upper_levels(rows: DataFrame, stats_of: Stats, trees: int, width: int, n: int, rules: Rules, bins: Bins, salt: Callable[[int], int]) -> list[Top]:
-    """Grow all trees together, a level an aggregate, until every open node has SMALL_ROWS rows or fewer."""
+def upper_levels(
+    rows: DataFrame, stats_of: Stats, trees: int, width: int, n: int, rules: Rules, bins: Bins, salt: Callable[[int], int],
+    least: int | None = None, opened: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = iter,
+) -> list[Top]:
+    """Grow all trees together, a level an aggregate, until every open node has ``least`` rows (SMALL_ROWS) or fewer.
+
+    ``opened`` gives the batches of rows where ``rows`` holds them in another form.
+    """
+    least = SMALL_ROWS if least is None else least
     tops = [Top(Tree.empty(width), {0: salt(t)}, {0: 0}, {0: n}) for t in range(trees)]
     while True:
-        wide = [np.array([x for x, size in top.open.items() if size > SMALL_ROWS], np.int64) for top in tops]
+        wide = [np.array([x for x, size in top.open.items() if size > least], np.int64) for top in tops]
         if not any(len(w) for w in wide):
             return tops
         shapes = [top.tree for top in tops]
@@ -520,7 +531,7 @@ def upper_levels(rows: DataFrame, stats_of: Stats, trees: int, width: int, n: in
                 columns += [list_column(code, starts, pa.int32()), list_column(sums.ravel(), starts * (width + 1), pa.int64())]
                 return pa.RecordBatch.from_arrays(columns, ["tree", "node", "slice", "codes", "sums"])
 
-            for batch in batches:
+            for batch in opened(batches):
                 codes, starts = codes_of(batch)
                 bin_at = lookup(codes, starts, bins)
                 for t, at, stats in stats_of(batch):
@@ -595,7 +606,7 @@ def upper_levels(rows: DataFrame, stats_of: Stats, trees: int, width: int, n: in
             depth = top.depth[x]
             if r.code < 0 or (rules.depth is not None and depth >= rules.depth):
                 continue
-            if r.n_rows <= SMALL_ROWS:  # a tree's bag may leave rows out
+            if r.n_rows <= least:  # a tree's bag may leave rows out
                 top.open[x] = r.n_rows
                 continue
             at = len(tree.code)
@@ -650,7 +661,10 @@ def distinct_rows(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np
     return order[new], same
 
 
-def finished(rows: DataFrame, stats_of: Stats, tops: list[Top], width: int, rules: Rules, bins: Bins) -> DataFrame:
+def finished(
+    rows: DataFrame, stats_of: Stats, tops: list[Top], width: int, rules: Rules, bins: Bins,
+    opened: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = iter,
+) -> DataFrame:
     """(tree, node, subtree): every open node grown to its end inside one task."""
     shapes = [(top.tree, np.isin(np.arange(len(top.tree.code)), list(top.open))) for top in tops]
     kind = "tree int, node int, sizes binary, codes binary, stats array<binary>"
@@ -668,7 +682,7 @@ def finished(rows: DataFrame, stats_of: Stats, tops: list[Top], width: int, rule
 
         gathered: dict[int, list] = {}
         held = 0
-        for batch in batches:
+        for batch in opened(batches):
             codes, starts = codes_of(batch)
             bin_at = lookup(codes, starts, bins)
             for t, at, stats in stats_of(batch):
@@ -1087,6 +1101,22 @@ class Forest:
             rows.unpersist()
 
 
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch as one binary value: what is read once a level is handed to Python without a look at its rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK_ROWS):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, batch.schema) as stream:
+                stream.write_batch(batch.slice(at, BLOCK_ROWS))
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["block"])
+
+
+def rows_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block in batch.column("block"):
+            yield from pa.ipc.open_stream(block.as_buffer())
+
+
 def slopes(margins: np.ndarray, label: np.ndarray, classes: int | None) -> tuple[np.ndarray, np.ndarray]:
     """First and second derivatives of the loss by each margin."""
     if classes is None:
@@ -1162,11 +1192,16 @@ class Boosting:
         return [tree_of(r, 2, rules) for r in sorted(found, key=lambda r: r["tree"])]
 
     def _by_rounds(self, rows: DataFrame, model: TreeEnsemble, rules: Rules, n: int) -> list[Tree]:
-        """A round: one aggregate per upper level for all classes, one job for the rest of the trees."""
+        """A round: one aggregate per level for all classes; where the sums of a deep level are too many, one job for the rest of the trees."""
         me, light, trees = self, model._light(), []
         first = F.array(*(F.lit(float(x)) for x in model.start))
-        rows = rows.withColumn("margins", first)
+        # read once a level: a task for each core, and more where a task would get more rows than TASK_ROWS
+        parts = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n / TASK_ROWS))
+        rows = rows.withColumn("margins", first).mapInArrow(blocks, "block binary").coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
         held = None  # the rows with the margins before this round
+        cells = light.margins * 2 ** max(self.depth - 1, 0) * (light.bins.total + 1)
+        by_levels = n > SMALL_ROWS and cells * 3 * 8 <= DENSE_BYTES  # a node of one row is a leaf
+        least = 1 if by_levels else SMALL_ROWS
 
         def stats_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             margins = pc.list_flatten(batch.column("margins")).to_numpy().reshape(-1, light.margins)
@@ -1175,10 +1210,11 @@ class Boosting:
                 yield c, np.arange(batch.num_rows), np.ascontiguousarray(stats[:, c])
 
         for r in range(self.rounds):
-            tops = upper_levels(rows, stats_of, light.margins, 2, n, rules, light.bins, lambda t, r=r: r)
+            tops = upper_levels(rows, stats_of, light.margins, 2, n, rules, light.bins, lambda t, r=r: r, least, rows_in)
             below: list[dict[int, Tree]] = [{} for _ in tops]
-            for x in finished(rows, stats_of, tops, 2, rules, light.bins).toArrow().to_pylist():  # at most 2 ** depth nodes each
-                below[x["tree"]][x["node"]] = tree_of(x, 2, rules)
+            if not by_levels:
+                for x in finished(rows, stats_of, tops, 2, rules, light.bins, rows_in).toArrow().to_pylist():  # at most 2 ** depth nodes each
+                    below[x["tree"]][x["node"]] = tree_of(x, 2, rules)
             if held is not None:
                 held.unpersist()
             held = rows
@@ -1189,12 +1225,12 @@ class Boosting:
                 break
 
             def add(batches: Iterator[pa.RecordBatch], fresh=fresh) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
+                for batch in rows_in(batches):
                     codes, starts = codes_of(batch)
                     old = pc.list_flatten(batch.column("margins")).to_numpy().reshape(-1, light.margins)
                     new = old + light._parts(list(enumerate(fresh)), codes, starts)
                     made = list_column(new.ravel(), np.arange(len(new) + 1) * light.margins, pa.float64())
-                    yield batch.set_column(batch.schema.get_field_index("margins"), "margins", made)
+                    yield from blocks([batch.set_column(batch.schema.get_field_index("margins"), "margins", made)])
 
             rows = rows.mapInArrow(add, rows.schema)
             rows = stable(rows) if r % STORE_EVERY == STORE_EVERY - 1 else rows

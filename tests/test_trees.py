@@ -174,3 +174,20 @@ def test_a_model_that_stays_a_table_has_the_same_importances(table, monkeypatch)
     large = T.Forest(3, None, 2).fit(rows, 3, 3)
     assert large.trees is None and large.importances() == pytest.approx(small.importances(), rel=1e-9)
     assert small.importances() == pytest.approx(small.featureImportances.toArray(), rel=1e-12)
+
+
+@pytest.mark.parametrize("classes", [None, 3])
+def test_boosting_with_few_sums_sends_no_rows(table, monkeypatch, classes):
+    """Levels whose sums are few are all grown by aggregates; the trees are those of rows sent to their nodes."""
+    rows = prepared(table, ["a", "b", "c"], "y" if classes is None else "k")
+    monkeypatch.setattr(T, "SMALL_ROWS", 300)
+    finished, sent = T.finished, []
+    monkeypatch.setattr(T, "finished", lambda *x: sent.append(1) or finished(*x))
+    few = T.Boosting(2, classes, depth=4).fit(rows, 3, 3)
+    assert not sent
+    monkeypatch.setattr(T, "DENSE_BYTES", 0)
+    many = T.Boosting(2, classes, depth=4).fit(rows, 3, 3)
+    assert len(sent) == 2
+    told = [x.transform(rows).select("key", F.round("prediction", 9).alias("p")) for x in (few, many)]
+    assert told[0].exceptAll(told[1]).count() == 0
+    assert [sorted(map(tuple, t.sums)) for t in few.trees] == [sorted(map(tuple, t.sums)) for t in many.trees]
