@@ -495,6 +495,14 @@ DENSE_BYTES = 64 << 20
 BLOCK_ROWS = 10_000
 #: Rows that a task of a boosting round takes, at most.
 TASK_ROWS = 200_000
+
+
+def in_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """Rows that are read again and again in a task for each core, and in more where a task would get more than TASK_ROWS.
+
+    Else each of many steps would cost a task for every shuffle partition, however few rows those hold.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / TASK_ROWS)))
 #: Bins whose sums are merged in one group before a node's split is chosen.
 SLICE = 1 << 16
 
@@ -983,8 +991,8 @@ def bags(batch: pa.RecordBatch | pa.Table, draw: Callable[[np.ndarray, int], np.
         yield t, times
 
 
-def bagged(rows: DataFrame, draw: Callable[[np.ndarray, int], np.ndarray], trees: int) -> DataFrame:
-    """One row for all of the same bins and label, with what the bags need of them.
+def bagged(rows: DataFrame, draw: Callable[[np.ndarray, int], np.ndarray], trees: int, n: int | None = None) -> DataFrame:
+    """One row for all of the ``n`` rows of the same bins and label, with what the bags need of them.
 
     That is the ``keys`` of few rows, and of more than ``trees`` / 2 of them
     ``draws``, how often all of them together are in the bag of each tree.
@@ -1047,7 +1055,7 @@ def bagged(rows: DataFrame, draw: Callable[[np.ndarray, int], np.ndarray], trees
     parts = rows.mapInArrow(gather, kind).groupBy("codes", "label").agg(
         F.flatten(F.collect_list("keys")).alias("keys"), F.collect_list(F.when(F.size("draws") > 0, F.col("draws"))).alias("parts")
     )
-    return parts.mapInArrow(added, kind)
+    return (parts if n is None else in_tasks(parts, n)).mapInArrow(added, kind)
 
 
 def label_range(rows: DataFrame) -> tuple[int, float, float]:
@@ -1070,7 +1078,7 @@ class Forest:
         bins = learnt_bins(prepared, numbers, size, n)
         trees, classes, seed = self.trees, self.classes, self.seed
         draw = lambda keys, t: poisson_one(keys, seed * 1_000_003 + t)
-        rows = bagged(coded(prepared, bins), draw, trees).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = bagged(coded(prepared, bins), draw, trees, n).persist(StorageLevel.MEMORY_AND_DISK)
         if classes is not None:
             width, rules = classes + 1, Rules((1.0,) * (classes + 1), some=max(int(math.sqrt(size)), 1), counts=True)
             model = TreeEnsemble(bins, classes, False, np.zeros(classes), ClassShares())
@@ -1144,7 +1152,8 @@ class Boosting:
         n, middle, half = label_range(prepared)
         bins = learnt_bins(prepared, numbers, size, n)
         # rows of the same bins and label go the same way: one row, counted
-        rows = coded(prepared, bins).groupBy("codes", "label").agg(F.count("*").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = coded(prepared, bins).groupBy("codes", "label").agg(F.count("*").alias("n"))
+        rows = in_tasks(rows, n).persist(StorageLevel.MEMORY_AND_DISK)
         margins = 1 if self.classes is None or self.classes == 2 else self.classes
         bits = grid(n)
         unit = (2 * half if self.classes is None else 1.0) / (1 << bits)
@@ -1195,9 +1204,7 @@ class Boosting:
         """A round: one aggregate per level for all classes; where the sums of a deep level are too many, one job for the rest of the trees."""
         me, light, trees = self, model._light(), []
         first = F.array(*(F.lit(float(x)) for x in model.start))
-        # read once a level: a task for each core, and more where a task would get more rows than TASK_ROWS
-        parts = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n / TASK_ROWS))
-        rows = rows.withColumn("margins", first).mapInArrow(blocks, "block binary").coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = in_tasks(rows.withColumn("margins", first).mapInArrow(blocks, "block binary"), n).persist(StorageLevel.MEMORY_AND_DISK)
         held = None  # the rows with the margins before this round
         cells = light.margins * 2 ** max(self.depth - 1, 0) * (light.bins.total + 1)
         by_levels = n > SMALL_ROWS and cells * 3 * 8 <= DENSE_BYTES  # a node of one row is a leaf
