@@ -163,7 +163,8 @@ class WordTokenizer:
         model = spec["model"]
         if model["type"] != "BPE" or spec.get("decoder") is not None:
             raise ValueError("a BPE tokenizer without a decoder is needed")
-        self.library = Tokenizer.from_file(path)
+        library = Tokenizer.from_file(path)  # its tables go again, only these two parts are needed
+        self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         self.end = model.get("end_of_word_suffix") or ""
         self.automaton = MergeAutomaton(model["vocab"], [tuple(m) for m in model["merges"]], self.end)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -211,8 +212,8 @@ class WordTokenizer:
             for run in text.lower().split():
                 out.extend(self.memo.get(run) or self.run_ids(run))
         else:
-            normal = self.library.normalizer.normalize_str(text)
-            for letters, _ in self.library.pre_tokenizer.pre_tokenize_str(normal):
+            normal = self.normalizer.normalize_str(text)
+            for letters, _ in self.pre_tokenizer.pre_tokenize_str(normal):
                 out.extend(self.word_ids("\0" + letters, letters))
 
     def encode(self, text: str) -> list[int]:

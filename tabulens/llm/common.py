@@ -95,6 +95,30 @@ def pieces(table: pa.Table | pa.RecordBatch, columns: Sequence[str], most: int =
         total, start = int(ends[stop - 1]), stop
 
 
+def give_back() -> None:
+    """Memory that Arrow holds for later goes back to the system: Python workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+
+
+def in_pieces(
+    batches: Iterable[pa.RecordBatch],
+    work: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]],
+    text_columns: Sequence[str],
+    most: int = CHUNK_BYTES,
+) -> Iterator[pa.RecordBatch]:
+    """What ``work`` gives for each slice of each batch; nothing of a batch is kept after it."""
+    for batch in batches:
+        for piece in pieces(batch, text_columns, most):
+            made = work(piece)
+            if isinstance(made, pa.RecordBatch):
+                yield made
+            else:
+                yield from made
+        batch = piece = made = None
+        give_back()
+    give_back()  # the reader held the last batch until here
+
+
 def arrow_map(
     df: DataFrame,
     work: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]],
@@ -105,12 +129,6 @@ def arrow_map(
     """``mapInArrow`` over slices of bounded size; ``work`` gives one batch or several for each slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in pieces(batch, text_columns, most):
-                made = work(piece)
-                if isinstance(made, pa.RecordBatch):
-                    yield made
-                else:
-                    yield from made
+        yield from in_pieces(batches, work, text_columns, most)
 
     return df.mapInArrow(run, schema)

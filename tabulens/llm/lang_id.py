@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, give_back, in_pieces
 
 UNKNOWN = "und"
 #: Bits of the hashed n-grams, n = 1, 2, 3, and where each n starts in the feature space.
@@ -129,13 +129,18 @@ def fit(df: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str
 
     def frequencies(batches):
         seen, counts, n = np.zeros(FEATURES, bool), np.zeros(FEATURES, np.int64), 0
-        for batch in batches:
-            for x in batch.column("x").to_pylist():
+
+        def count(piece: pa.RecordBatch) -> list[pa.RecordBatch]:
+            nonlocal n
+            for x in piece.column("x").to_pylist():
                 g = features(x)
                 n += bool(len(g))
                 seen[g] = True
-                counts += seen
+                np.add(counts, seen, out=counts)
                 seen[g] = False
+            return []
+
+        yield from in_pieces(batches, count, ["x"])
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counts[at], n))], ["g", "n"])
 
@@ -216,6 +221,8 @@ def accepts(spark: SparkSession, model: Model, least: float):
     @F.arrow_udf("boolean")
     def accepted(texts: pa.Array) -> pa.Array:
         made = (shared.value.predict(x.as_py()) for x in texts)
-        return pa.array([lang != UNKNOWN and score >= least for lang, score in made], pa.bool_())
+        told = pa.array([lang != UNKNOWN and score >= least for lang, score in made], pa.bool_())
+        give_back()
+        return told
 
     return accepted

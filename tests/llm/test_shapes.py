@@ -1,6 +1,9 @@
 """Sharding, chat formatting, page text and top-k search."""
 
+import os
 import random
+import subprocess
+import sys
 import time
 
 import numpy as np
@@ -266,3 +269,29 @@ def test_after_an_unclosed_quote_tags_count_again():
     page = """<p title="a>b">one</p><b '>' x="never closed <i>two</i> '>' <nav>menu</nav><p>three"""
     kinds = [(kind, text) for kind, text, _, _ in html_main.items(page) if text.strip()]
     assert ("word", "one") in kinds and ("word in boilerplate", "menu") in kinds and kinds[-1] == ("word", "three")
+
+
+def test_a_worker_gives_the_memory_of_its_batches_back():
+    """In a process of its own: what is resident after 300 MB in batches, besides what was before."""
+    code = """
+import re
+import pyarrow as pa
+from tabulens.llm import common
+
+def resident():
+    return int(re.search("VmRSS:\\s+([0-9]+)", open("/proc/self/status").read())[1]) >> 10
+
+def batches():
+    for i in range(10):
+        yield pa.RecordBatch.from_arrays([pa.array([chr(65 + i) * 3000] * 10_000)], ["x"])
+
+def work(piece):
+    return pa.RecordBatch.from_arrays([pa.array(piece.column("x").to_pylist())], ["x"])
+
+before = resident()
+assert sum(b.num_rows for b in common.in_pieces(batches(), work, ["x"])) == 100_000
+print(resident() - before)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    told = subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, check=True)
+    assert int(told.stdout) < 25
