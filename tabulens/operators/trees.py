@@ -1204,8 +1204,9 @@ class Boosting:
         """A round: one aggregate per level for all classes; where the sums of a deep level are too many, one job for the rest of the trees."""
         me, light, trees = self, model._light(), []
         first = F.array(*(F.lit(float(x)) for x in model.start))
+        # each round's rows are made from those of the last stored round: a table cached from a cached one doubles the plan
         rows = in_tasks(rows.withColumn("margins", first).mapInArrow(blocks, "block binary"), n).persist(StorageLevel.MEMORY_AND_DISK)
-        held = None  # the rows with the margins before this round
+        stored, since = rows, []
         cells = light.margins * 2 ** max(self.depth - 1, 0) * (light.bins.total + 1)
         by_levels = n > SMALL_ROWS and cells * 3 * 8 <= DENSE_BYTES  # a node of one row is a leaf
         least = 1 if by_levels else SMALL_ROWS
@@ -1222,26 +1223,30 @@ class Boosting:
             if not by_levels:
                 for x in finished(rows, stats_of, tops, 2, rules, light.bins, rows_in).toArrow().to_pylist():  # at most 2 ** depth nodes each
                     below[x["tree"]][x["node"]] = tree_of(x, 2, rules)
-            if held is not None:
-                held.unpersist()
-            held = rows
+            if rows is not stored:
+                rows.unpersist()
             fresh = [grafted(top.tree, subs) for top, subs in zip(tops, below)]
             trees += fresh
-
             if r == self.rounds - 1:
                 break
+            since.append(fresh)
 
-            def add(batches: Iterator[pa.RecordBatch], fresh=fresh) -> Iterator[pa.RecordBatch]:
+            def add(batches: Iterator[pa.RecordBatch], since=tuple(since)) -> Iterator[pa.RecordBatch]:
                 for batch in rows_in(batches):
                     codes, starts = codes_of(batch)
-                    old = pc.list_flatten(batch.column("margins")).to_numpy().reshape(-1, light.margins)
-                    new = old + light._parts(list(enumerate(fresh)), codes, starts)
-                    made = list_column(new.ravel(), np.arange(len(new) + 1) * light.margins, pa.float64())
+                    bin_at, every = lookup(codes, starts, light.bins), np.arange(batch.num_rows)
+                    margins = pc.list_flatten(batch.column("margins")).to_numpy().reshape(-1, light.margins).copy()
+                    for c, tree in ((c, tree) for round_ in since for c, tree in enumerate(round_)):
+                        margins[:, c] += light.scale(tree.sums)[leaves_of(tree, every, light.bins, bin_at), 0]
+                    made = list_column(margins.ravel(), np.arange(len(margins) + 1) * light.margins, pa.float64())
                     yield from blocks([batch.set_column(batch.schema.get_field_index("margins"), "margins", made)])
 
-            rows = rows.mapInArrow(add, rows.schema)
-            rows = stable(rows) if r % STORE_EVERY == STORE_EVERY - 1 else rows
-            rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # stored by the first aggregate of the next round
-        if held is not None:
-            held.unpersist()
+            rows = stored.mapInArrow(add, stored.schema)
+            if len(since) < STORE_EVERY:
+                rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # held from the first aggregate of the next round on
+                continue
+            rows = stable(rows).persist(StorageLevel.MEMORY_AND_DISK)
+            stored.unpersist()
+            stored, since = rows, []
+        stored.unpersist()
         return trees

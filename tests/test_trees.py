@@ -191,3 +191,22 @@ def test_boosting_with_few_sums_sends_no_rows(table, monkeypatch, classes):
     told = [x.transform(rows).select("key", F.round("prediction", 9).alias("p")) for x in (few, many)]
     assert told[0].exceptAll(told[1]).count() == 0
     assert [sorted(map(tuple, t.sums)) for t in few.trees] == [sorted(map(tuple, t.sums)) for t in many.trees]
+
+
+def test_plans_of_boosting_rounds_do_not_grow(table, monkeypatch):
+    """The driver keeps the plan of every level; a round's must not hold those of all rounds before."""
+    rows = prepared(table, ["a", "b", "c"], "k")
+    whole = T.Boosting(12, 3, depth=3).fit(rows, 3, 3)
+    monkeypatch.setattr(T, "SMALL_ROWS", 300)
+    upper_levels, plans = T.upper_levels, []
+
+    def watched(df, *more):
+        plans.append(len(df._jdf.queryExecution().toString()))
+        return upper_levels(df, *more)
+
+    monkeypatch.setattr(T, "upper_levels", watched)
+    by_rounds = T.Boosting(12, 3, depth=3).fit(rows, 3, 3)
+    assert len(plans) == 12 and max(plans) < 2 * max(plans[:2])
+    told = [x.transform(rows).select("key", F.round("prediction", 9).alias("p")) for x in (whole, by_rounds)]
+    assert told[0].exceptAll(told[1]).count() == 0
+    assert [sorted(map(tuple, t.sums)) for t in whole.trees] == [sorted(map(tuple, t.sums)) for t in by_rounds.trees]
