@@ -302,3 +302,42 @@ def test_sets_that_can_not_be_similar_do_not_meet_by_prefix(spark):
     sets = spark.createDataFrame(held, "node long, s array<bigint>")
     pairs = near_copies_module.prefix_pairs(sets.selectExpr("node", "node AS root"), sets)
     assert [tuple(r) for r in pairs.collect()] == [(3, 2)]
+
+
+def test_a_similar_pair_without_a_common_key_is_found(spark):
+    """9 shingles each, 8 in common, and no band of minima alike (one such pair in 786,000 tried)."""
+    words = [f"w{(643043076 * 31 + k * 7919) % 1000003}" for k in range(14)]
+    texts = [" ".join(words[:13]), " ".join(words[:12] + words[13:])]
+    sets = [near_copies_module.shingles(t.encode()) for t in texts]
+    assert len(set(sets[0].tolist()) & set(sets[1].tolist())) == 8 and list(map(len, sets)) == [9, 9]
+    assert not set(near_copies_module.band_keys(sets[0])) & set(near_copies_module.band_keys(sets[1]))
+    rows = [(1, texts[0]), (2, texts[1]), (3, texts[1]), (4, "another text of some words that is like none of them"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [1, 4, 5]
+
+
+@pytest.mark.parametrize("common", [1, 3, 10**9])
+def test_prefixes_alone_find_every_pair(spark, monkeypatch, common):
+    """Without any key, and whatever shingles count as common."""
+    monkeypatch.setattr(near_copies_module, "COMMON", common)
+    rng = random.Random(23)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1000, None), (1001, "one two"), (1002, "One  two")]
+    for g in range(12):
+        base = [rng.choice(words) for _ in range(rng.choice([7, 20, 60, 150]))]
+        for c in range(6):
+            text = list(base)
+            for _ in range(rng.randrange(1 + len(base) // 25)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            rows.append((g * 10 + c, " ".join(text)))
+    root = brute_similar_groups(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = near_copies_module.written(near_copies_module.signatures(df, "doc_id", "text"), "signatures")
+    none = spark.createDataFrame([], "u long, v long")
+    pairs = near_copies_module.written(near_copies_module.unmet_pairs(signed, none), "pairs")
+    likely = near_copies_module.plausible(df, "text", signed, pairs)
+    assert likely.count() < pairs.count()
+    pairs, sets = likely, near_copies_module.needed_sets(df, "text", signed, signed.select("node").distinct())
+    stars = {r.u: r.v for r in simhash_index.connected(near_copies_module.verified(pairs, sets)).collect()}
+    got = {r.id: stars.get(r.node, r.node) for r in signed.collect()}
+    assert len(set(zip(got.values(), (dict(zip((d for d, _ in rows), root))[i] for i in got)))) == len(set(got.values())) == len(set(root))
